@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup
+from . import chat_format, fingerprints, line_dedup, secret_scan
 
 QUERIES = {
+    "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op6_secret_scans": secret_scan.op6_secret_scans,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
 }
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
+    "op6_secret_scans": secret_scan.SQL,
     "op8_chat_formatting": chat_format.SQL,
 }
