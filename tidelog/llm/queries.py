@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, line_dedup, secret_scan
+from . import bpe, chat_format, fingerprints, line_dedup, packing, secret_scan, token_io
 
 QUERIES = {
     "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_bpe": bpe.op4_bpe,
+    "op5_packing": packing.op5_packing,
     "op6_secret_scans": secret_scan.op6_secret_scans,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
+    "op10_token_id_output": token_io.op10_token_id_output,
 }
 ORACLE = {
     "op3_line_dedup": line_dedup.SQL,
