@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .tokens import ChunkEncoder, tokenizer_path
+from .tokens import ChunkEncoder, byte_letters, tokenizer_path
 
 #: Fixed value: the pre-tokenizer of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -32,13 +32,6 @@ CELLS = 1 << 20
 MEMO = 200_000
 
 
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -15,15 +15,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Bytes of text handled at once, and chunks remembered by a Python worker.
 SLICE_BYTES = 4 << 20
 MEMO_MAX = 300_000
 
+#: Fixed value: the pre-tokenizer of word_bpe files.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """offsets (from 0) and bytes of an array of strings; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -124,11 +135,36 @@ def library_encoder(path: str) -> ChunkEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
+        find, letters, tokenize = regex.compile(WORD_PATTERN).findall, byte_letters(), tokenizer.model.tokenize
+        memo: dict[str, bytes] = {}
+
+        def pre_token(w: str) -> bytes:
+            said = w if w.isascii() else "".join(letters[b] for b in w.encode())
+            return array("I", [t.id for t in tokenize(said)]).tobytes()
+
         def encode(words: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for at in range(0, len(words), 4096):
-                for x in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
-                    out.append(array("I", x.ids).tobytes())
+            out: list[bytes | None] = []
+            odd = []
+            for i, chunk in enumerate(words):
+                w = chunk.strip(" ").lower()
+                if w and max(w) <= "\xff" and w.isprintable() and "<|" not in w:
+                    # no normalisation but lowering applies, so only the library's model is needed, for each pre-token
+                    parts = []
+                    for x in find(w):
+                        ids = memo.get(x)
+                        if ids is None:
+                            ids = memo[x] = pre_token(x)
+                        parts.append(ids)
+                    out.append(b"".join(parts))
+                else:
+                    out.append(None)
+                    odd.append(i)
+            for at in range(0, len(odd), 1024):
+                rows = odd[at : at + 1024]
+                for i, x in zip(rows, tokenizer.encode_batch_fast([words[i] for i in rows], add_special_tokens=False), strict=True):
+                    out[i] = array("I", x.ids).tobytes()
+            if len(memo) > MEMO_MAX:
+                memo.clear()
             return out
 
         _LIBRARY[path] = ChunkEncoder(encode, fold=True)
