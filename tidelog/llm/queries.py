@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, line_dedup, packing, secret_scan, token_io, topk
+from . import bpe, chat_format, fingerprints, jaccard, line_dedup, packing, secret_scan, token_io, topk
 
 QUERIES = {
     "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_packing": packing.op5_packing,
     "op6_secret_scans": secret_scan.op6_secret_scans,
+    "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_token_id_output": token_io.op10_token_id_output,
