@@ -11,8 +11,8 @@ Likeness of two trees: distinct nodes that both have, over the distinct nodes of
 
 Defined results. Null or empty text: one empty section with one empty paragraph, so equal to each other.
 Order for `next`: descending doc_id; rows with the same doc_id share a place, for which the greatest
-of their texts stands when another document looks at it. Rows with a null doc_id come last and look at the first.
-A single document is its own next; where every doc_id is null there is no next (empty, near_next 0). Repeated rows: each comes back. Empty table: no rows. Other columns are not read.
+of their texts stands when another document looks at it. A null doc_id counts as the smallest id, -2^63.
+A single document is its own next. Repeated rows: each comes back. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,42 +86,44 @@ def differing(fp_a: Column, fp_b: Column) -> Column:
 
 
 def ring(ids: DataFrame, at: str) -> DataFrame:
-    """ids (distinct doc_id, n) with next_id in descending order, the first after the last.
+    """ids (distinct k, n) with next_k in descending order, the first after the last.
 
     Range partitions hold neighbours; a table of one row per partition closes the gaps between them."""
-    ordered = ids.filter(F.col("doc_id").isNotNull()).repartitionByRange(F.col("doc_id").desc())
-    placed = written(ordered.select("doc_id", "n", F.spark_partition_id().alias("part")), at)
-    firsts = placed.groupBy("part").agg(F.max("doc_id").alias("first"))
+    ordered = ids.repartitionByRange(F.col("k").desc())
+    placed = written(ordered.select("k", "n", F.spark_partition_id().alias("part")), at)
+    firsts = placed.groupBy("part").agg(F.max("k").alias("first"))
     after = firsts.select(
         "part",
         F.coalesce(
             F.lead("first").over(Window.orderBy(F.col("first").desc())), F.max("first").over(Window.partitionBy(F.lit(0)))
         ).alias("after"),
     )
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").desc())
-    pairs = placed.withColumn("next_id", F.lead("doc_id").over(inside)).join(F.broadcast(after), "part")
-    return pairs.select("doc_id", "n", F.coalesce("next_id", "after").alias("next_id"))
+    inside = Window.partitionBy("part").orderBy(F.col("k").desc())
+    pairs = placed.withColumn("next_k", F.lead("k").over(inside)).join(F.broadcast(after), "part")
+    return pairs.select("k", "n", F.coalesce("next_k", "after").alias("next_k"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every row with its fingerprint, that of its edited text (the second half replaced by the start of the
-    next document) and the likenesses; edited_text is the last column."""
-    spark = docs.sparkSession
-    at = workspace(spark, "fingerprints")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id", F.char_length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    pairs = ring(ids, f"{at}/ring")
-    last = ids.join(pairs.agg(F.max("doc_id").alias("next_id")), F.col("doc_id").isNull()).select("doc_id", "n", "next_id")
-    looks = pairs.unionByName(last)
-
-    seen = rows.groupBy("doc_id").agg(F.max("text").alias("text")).filter(F.col("doc_id").isNotNull())
-    given = with_tree(
-        looks.join(seen.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id"), "next_text", "n_"
-    ).select(F.col("doc_id").alias("own_id"), F.expr("left(next_text, n div 2)").alias("start"), F.substring("n_fp", 1, 64).alias("n_fp"), "n_nodes")
-
-    df = rows.join(given, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
-    df = df.withColumn("n", F.char_length("text"))
-    df = df.withColumn("edited_text", F.expr("concat(left(text, n - n div 2), left(coalesce(start, ''), n div 2))"))
+    next document) and the likenesses; edited_text is the last column.
+
+    Texts are shuffled once by id; that exchange serves as the rows and as the texts which others look at."""
+    at = workspace(docs.sparkSession, "fingerprints")
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    ids = rows.select("k", F.char_length("text").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    looks = ring(ids, f"{at}/ring")
+
+    dealt = rows.repartition("k")
+    # doc_id rides along so that both uses of the exchange have the same columns, without which Spark shuffles twice
+    greatest = F.max(F.struct("text", "doc_id")).alias("row")
+    seen = dealt.groupBy("k").agg(greatest).select(F.col("k").alias("next_k"), F.col("row.text").alias("next_text"))
+    given = with_tree(looks.join(seen, "next_k"), "next_text", "n_").select(
+        "k", F.expr("left(next_text, n div 2)").alias("start"), F.substring("n_fp", 1, 64).alias("n_fp"), "n_nodes"
+    )
+    df = dealt.join(given, "k").withColumn("n", F.char_length("text"))
+    df = df.withColumn("edited_text", F.expr("concat(left(text, n - n div 2), left(start, n div 2))"))
     df = with_tree(with_tree(df, "text", "a_"), "edited_text", "e_")
     return df.select(
         "doc_id",
@@ -129,7 +131,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("a_fp").alias("fingerprint"),
         F.col("e_fp").alias("edited_fingerprint"),
         likeness("a_nodes", "e_nodes", "a_fp", "e_fp").alias("near_edited"),
-        F.coalesce(likeness("a_nodes", "n_nodes", "a_fp", "n_fp"), F.lit(0.0)).alias("near_next"),
+        likeness("a_nodes", "n_nodes", "a_fp", "n_fp").alias("near_next"),
         "edited_text",
     )
 
