@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprints, jaccard, line_dedup, packing, secret_scan, token_io, topk
+from . import bpe, chat_format, fingerprints, jaccard, langid, line_dedup, packing, secret_scan, token_io, topk
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_document_fingerprints": fingerprints.op2_document_fingerprints,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_bpe": bpe.op4_bpe,
