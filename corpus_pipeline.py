@@ -1,8 +1,77 @@
-"""The corpus pipeline: STAGES, run and ORACLE_SQL."""
+"""The corpus pipeline: language ID, line dedup, near duplicates, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
+return the columns of documents. Decisions:
+ language_id      rows that the calibrated rejection turns away go, the others stay as they are;
+ line_dedup       lines that it drops leave the text, n_chars follows; no document goes;
+ near_duplicates  of each component of linked documents the one with the least doc_id stays
+                  (of rows that share that doc_id too: one); documents with an empty set stay;
+ secret_scan      every span is replaced by a mark, n_chars follows; no document goes;
+ packing          the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidelog.llm import jaccard, langid, line_dedup, packing, secret_scan
+from tidelog.llm._shared import row_key, workspace, written
+from tidelog.llm.tokens import tokenizer_path
+
+
+def _with_text(docs: DataFrame, text, names: list[str]) -> DataFrame:
+    """docs with a new text and, where it has that column, its length."""
+    docs = docs.withColumn("text", text)
+    if "n_chars" in names:
+        docs = docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*names)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    models = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
+    return langid.predict(docs, models, docs.columns).filter(~F.col("__rejected")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
+    return _with_text(found, F.when(F.col("text").isNotNull(), F.col("kept_text")), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
+    # decisions are per row, so they are joined by the row's contents; equal rows are one document
+    leads = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    first = Window.partitionBy("doc_id", "__k1", "__k2").orderBy(F.lit(0))
+    kept = docs.join(leads.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
+    keyed = kept.select("*", *[k.alias(f"__{n}") for k, n in zip(row_key("text"), ("k1", "k2"), strict=True)])
+    one = keyed.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*docs.columns)
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spans = secret_scan.scan(docs.select("doc_id", "source", "text"))
+    return _with_text(secret_scan.redact(docs, spans), F.col("text"), docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secrets),
+    ("packing", packed),
+]
+
+#: Language models, shingle components and tokens are not expressed in SQL; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), workspace(spark, f"pipeline-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
