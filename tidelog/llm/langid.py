@@ -39,7 +39,7 @@ NO_LETTERS = r"[^\p{L}\p{M}]+"
 SLICE = 4 << 20
 MEMO = 200_000
 
-_C = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) | 1) for j in range(ORDER)]
+_C = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(ORDER)]
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
