@@ -190,7 +190,7 @@ def _semi(spark, sf):
     return log.join(log.filter("event_type = 'purchase' AND id < 20").select("pp_id").distinct(), "pp_id", "left_semi").select("id")
 
 
-@query("n01_numbered_transactions", O + "SELECT txn, scn, row_number() OVER (ORDER BY scn) AS r FROM (SELECT * FROM tx WHERE scn > 20 ORDER BY scn LIMIT 100)")
+@query("n01_numbered_transactions", O + "SELECT txn, scn, row_number() OVER (ORDER BY scn)::INT AS r FROM (SELECT * FROM tx WHERE scn > 20 ORDER BY scn LIMIT 100)")
 def _numbered(spark, sf):
     return P.next_transactions(X.txlog(spark, sf), 20, 100).select("txn", "scn", "r")
 

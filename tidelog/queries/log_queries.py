@@ -22,7 +22,7 @@ def _eop(spark, sf):
     return R.end_of_windows(X.events_log(spark, sf))
 
 
-@query("w02_read_since", f"{POS} SELECT id, scn, pos FROM p WHERE scn > 500 OR (scn = 500 AND pos > 2)")
+@query("w02_read_since", f"{POS} SELECT id, scn, pos::INT AS pos FROM p WHERE scn > 500 OR (scn = 500 AND pos > 2)")
 def _since(spark, sf):
     return R.read_changes(X.events_log(spark, sf), 500, 2).select("id", "scn", "pos")
 
@@ -51,7 +51,7 @@ def _latest(spark, sf):
 
 
 @query("w06_interleaved", f"""{W}, w AS (SELECT pp_id, scn, row_number() OVER (PARTITION BY pp_id ORDER BY scn) AS turn FROM (SELECT DISTINCT pp_id, scn FROM log WHERE pp_id <> 1 OR scn > 10))
-  SELECT id, pp_id, turn FROM log JOIN w USING (pp_id, scn)""")
+  SELECT id, pp_id, turn::INT AS turn FROM log JOIN w USING (pp_id, scn)""")
 def _interleaved(spark, sf):
     return R.interleaved(X.events_log(spark, sf), after={1: 10}).select("id", "pp_id", "turn")
 

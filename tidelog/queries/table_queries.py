@@ -75,7 +75,7 @@ def _by_scn(spark, sf):
     return S.last_image(log.withColumn("pos", order), ["srckey", "scn"], "pos").select("srckey", "scn", "l_quantity", "l_extendedprice")
 
 
-@query("b03_source_order", f"{W} SELECT id, row_number() OVER (PARTITION BY scn ORDER BY lp_id, seq) AS out_pos FROM log")
+@query("b03_source_order", f"{W} SELECT id, row_number() OVER (PARTITION BY scn ORDER BY lp_id, seq)::INT AS out_pos FROM log")
 def _order(spark, sf):
     return S.source_order(X.events_log(spark, sf), src="lp_id", position="seq").select("id", "out_pos")
 
