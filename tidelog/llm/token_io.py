@@ -74,7 +74,8 @@ def _writer(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1) -> None:
     """Encodes every text and writes the files."""
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range is by id alone: the keys sampled for it come to the driver
+    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(_writer(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
 
 
