@@ -40,7 +40,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     here = np.arange(n)
     best = np.full(n, width.max(initial=1), np.int64)
     for k in range(int(width.max(initial=1)) - 1, int(width.min(initial=1)) - 1, -1):
-        over = np.append(0, np.cumsum(width > k))
+        small = width <= k
+        if np.count_nonzero(small) * 50 < n:  # so few that words of this width would hardly ever be used
+            break
+        over = np.append(0, np.cumsum(~small))
         fits = over[np.minimum(here + COUNTS[k], end)] == over[here]
         best[fits] = k
     places, blocks = [], []

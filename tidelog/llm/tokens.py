@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes of text handled at once, and chunks remembered by a Python worker.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 MEMO_MAX = 300_000
 
 #: Fixed value: the pre-tokenizer of word_bpe files.
@@ -97,24 +97,32 @@ class ChunkEncoder:
         coded = chunks.dictionary_encode()
         index = coded.indices.to_numpy()
         parts = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        # 32 bits do: a slice is one text or a few megabytes, and texts end at 2 GB
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) >> 2
         flat = np.frombuffer(b"".join(parts), np.uint32)
         n = size[index]
-        ends = np.cumsum(n)
-        begin = (np.cumsum(size) - size)[index]
+        ends = np.cumsum(n, dtype=np.int32)
+        begin = (np.cumsum(size, dtype=np.int32) - size)[index]
         if not len(flat):
             return flat, np.zeros(len(o), np.int64)
-        ids = flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.append(0, ends)[np.searchsorted(starts, o)]
+        ids = flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)]
+        return ids, np.append(0, ends).astype(np.int64)[np.searchsorted(starts, o)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         young, old = self._young, self._old
-        parts = [young.get(w) or old.get(w) for w in words]
-        missed = [i for i, x in enumerate(parts) if x is None]
+        parts = list(map(young.get, words))
+        gone = [i for i, x in enumerate(parts) if x is None]
+        missed = []
+        for i in gone:
+            w = words[i]
+            x = parts[i] = old.get(w)
+            if x is None:
+                missed.append(i)
+            else:
+                young[w] = x
         if missed:
             for i, x in zip(missed, self._encode([words[i] for i in missed]), strict=True):
-                parts[i] = x
-        young.update(zip(words, parts, strict=True))
+                parts[i] = young[words[i]] = x
         if len(young) > self._most:
             self._young, self._old = {}, young
         return parts
@@ -163,7 +171,7 @@ def library_encoder(path: str) -> ChunkEncoder:
                 rows = odd[at : at + 1024]
                 for i, x in zip(rows, tokenizer.encode_batch_fast([words[i] for i in rows], add_special_tokens=False), strict=True):
                     out[i] = array("I", x.ids).tobytes()
-            if len(memo) > MEMO_MAX:
+            if len(memo) > 2 * MEMO_MAX:
                 memo.clear()
             return out
 
