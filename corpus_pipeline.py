@@ -20,12 +20,19 @@ from tidelog.llm._shared import row_key, workspace, written
 from tidelog.llm.tokens import tokenizer_path
 
 
-def _with_text(docs: DataFrame, text, names: list[str]) -> DataFrame:
-    """docs with a new text and, where it has that column, its length."""
-    docs = docs.withColumn("text", text)
-    if "n_chars" in names:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*names)
+def _slim(docs: DataFrame, *keys: str) -> DataFrame:
+    """The key columns, text and all others in one struct, so that no name clashes with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*keys, "text")]
+    return docs.select(*keys, "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def _full(slim: DataFrame, docs: DataFrame, text, *keys: str) -> DataFrame:
+    """slim with docs' columns again; the new text's length goes into n_chars where there is such a column."""
+    size = F.char_length("__text")
+    new = {"text": F.col("__text"), **{k: F.col(k) for k in keys}}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return slim.withColumn("__text", text).select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
-    return _with_text(found, F.when(F.col("text").isNotNull(), F.col("kept_text")), docs.columns)
+    found = line_dedup.apply_bitmaps(_slim(docs, "doc_id"), line_dedup.keep_bitmaps(docs.select("doc_id", "text")))
+    return _full(found, docs, F.when(F.col("text").isNotNull(), F.col("kept_text")), "doc_id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spans = secret_scan.scan(docs.select("doc_id", "source", "text"))
-    return _with_text(secret_scan.redact(docs, spans), F.col("text"), docs.columns)
+    return _full(secret_scan.redact(_slim(docs, "doc_id", "source"), spans), docs, F.col("text"), "doc_id", "source")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
