@@ -35,9 +35,9 @@ from .tokens import slices
 ORDER, MAX_NGRAMS, MAX_LANGUAGES = 4, 100_000, 200
 RATIO, SIGMAS, SHARPNESS = 1.6, 6.0, 4.0
 UNKNOWN = "und"
-NO_LETTERS = r"[^\p{L}\p{M}]+"
-SLICE = 4 << 20
-MEMO = 200_000
+NO_LETTERS = r"\P{L}+"
+SLICE = 8 << 20
+MEMO = 400_000
 
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(ORDER)]
 
@@ -192,7 +192,8 @@ class Models:
     def __init__(self, models: dict[str, KneserNey]):
         self.names = sorted(models)
         self.models = [models[n] for n in self.names]
-        self._memo: dict[str, np.ndarray] = {}
+        self._index: dict[str, int] = {}
+        self._rows = np.zeros((0, len(self.names)), np.float32)
 
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Bits of each word in each language."""
@@ -210,14 +211,16 @@ class Models:
         return out
 
     def bits(self, words: list[str]) -> np.ndarray:
-        memo = self._memo
-        missed = [w for w in words if w not in memo]
+        """word_bits of distinct words; up to MEMO words are remembered between calls."""
+        index = self._index
+        if len(index) > MEMO:
+            index.clear()
+            self._rows = self._rows[:0]
+        missed = [w for w in words if w not in index]
         if missed:
-            memo.update(zip(missed, self.word_bits(missed), strict=True))
-        out = np.stack([memo[w] for w in words])
-        if len(memo) > MEMO:
-            memo.clear()
-        return out
+            index.update(zip(missed, range(len(index), len(index) + len(missed)), strict=True))
+            self._rows = np.concatenate([self._rows, self.word_bits(missed).astype(np.float32)])
+        return self._rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
 
     def predict(self, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
         """(first row, end row, languages, scores, rejected) for slices of texts."""
@@ -230,7 +233,7 @@ class Models:
                 yield lo, hi, [UNKNOWN] * (hi - lo), np.zeros(hi - lo), np.ones(hi - lo, bool)
                 continue
             table = self.bits(names)
-            table[lens == 0] = 0
+            table[lens == 0] = 0  # a copy: indexed by an array
             cost = np.stack([np.bincount(doc, weights=table[index, i], minlength=hi - lo) for i in range(len(self.models))], 1)
             cost /= np.maximum(chars, 1)[:, None]
             best = cost.argmin(1)
