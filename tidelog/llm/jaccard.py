@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import workspace, written
+from ._shared import remove, workspace, written
 from .components import components
 from .tokens import slices, text_buffers
 
@@ -288,14 +288,17 @@ def _linked(percent: int):
 
 
 def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough."""
+    """The pairs (x, y) whose whole sets are similar enough.
+
+    The sets of all x come out of one exchange already dealt by x; those of y, which many x may share, lie in a
+    table, so that both sides of that join are plain exchanges which Spark may split where a y is hot."""
     pairs = written(pairs.select("x", "y"), f"{at}/pairs")
-    nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-    sets = written(sets_of(coded, nodes), f"{at}/sets")
-    left = sets.select(F.col("node").alias("x"), F.col("toks").alias("a"))
-    right = sets.select(F.col("node").alias("y"), F.col("toks").alias("b"))
+    left = sets_of(coded, pairs.select(F.col("x").alias("node")).distinct()).select(F.col("node").alias("x"), F.col("toks").alias("a"))
+    right = written(sets_of(coded, pairs.select(F.col("y").alias("node")).distinct()), f"{at}/sets").select(F.col("node").alias("y"), F.col("toks").alias("b"))
     met = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
-    return written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links")
+    links = written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links")
+    remove(pairs.sparkSession, f"{at}/sets")
+    return links
 
 
 def _visit(percent: int):
@@ -337,6 +340,11 @@ def _bound(c, nx: str, ny: str, percent: int):
     return F.greatest(ceil(nx), ceil(ny)) - 1 + c >= need
 
 
+def _fits(percent: int):
+    """Whether the sizes allow the similarity."""
+    return F.expr(f"100 * nx >= {percent} * ny AND 100 * ny >= {percent} * nx")
+
+
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -359,10 +367,9 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
         .select("node", "n", F.explode(F.array_distinct(F.array(*[F.struct(f"p{r}.node", f"p{r}.n") for r in range(PIVOTS)]))).alias("p"))
         .filter(F.col("p.node") != F.col("node"))
         .groupBy(F.col("node").alias("x"), F.col("p.node").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("nx"), F.first("p.n").alias("ny"))
-        .filter(_bound(2 * F.col("c"), "nx", "ny", percent))
+        .filter(_fits(percent)).filter(_bound(2 * F.col("c"), "nx", "ny", percent))
         .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y1"), F.min_by("y", F.struct(-F.col("c"), "y")).alias("y2"))
         .select("x", F.explode(F.array_distinct(F.array("y1", "y2"))).alias("y"))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     )
     links1 = verified(star, coded, f"{at}/star", percent)
     labels1 = written(components(links1, f"{at}/round1"), f"{at}/labels1")
@@ -378,8 +385,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     short = written(labelled.join(open_.filter(f"f <= {COLUMN}").select("t"), "t").select("t", "node", "n", "label"), f"{at}/short")
     a = short.select("t", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
     b = short.select("t", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    fits = f"x < y AND lx <> ly AND 100 * nx >= {percent} * ny AND 100 * ny >= {percent} * nx"
-    counted = a.join(b, "t").filter(fits).groupBy("x", "y").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    counted = a.join(b, "t").filter("x < y AND lx <> ly").filter(_fits(percent)).groupBy("x", "y").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     # a pair may share long columns too; those are counted in step 3, where both meet again
     long_ = written(labelled.join(open_.filter(f"f > {COLUMN}").select("t"), "t").select("t", "node", "n", "label"), f"{at}/long")
     in_long = long_.groupBy("node").agg(F.count("*").alias("k"))
@@ -425,9 +431,12 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PE
     salts = 16
     docs_ = coded.select("doc_id", "node", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     salted = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return docs_.join(salted, ["node", "salt"], "left").select(
+    out = docs_.join(salted, ["node", "salt"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    out = written(out, f"{at}-out")
+    remove(spark, at)
+    return out
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
