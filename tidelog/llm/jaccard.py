@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remove, workspace, written
+from ._shared import remove, small_batches, workspace, written
 from .components import components
 from .tokens import slices, text_buffers
 
@@ -85,7 +85,7 @@ class Shingler:
     def sets(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         offsets, raw = text_buffers(texts)
         k = self.words
-        for lo, hi in slices(offsets, 2 << 20):
+        for lo, hi in slices(offsets, 512 << 10):
             o = offsets[lo : hi + 1] - offsets[lo]
             w, wo = self._word_hashes(raw[offsets[lo] : offsets[hi]], o)
             padded = np.append(w, np.zeros(k, np.uint64))
@@ -131,12 +131,12 @@ def _sketch(shingler: Shingler):
     """Counts of shingles in 2**CELL_BITS cells, in 2**RANGE_BITS compressed parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells = np.zeros(1 << CELL_BITS, "<u4")
         for batch in batches:
             for _, sets in shingler.sets(batch.column(0)):
                 if sets:
-                    cells += np.bincount((np.concatenate(sets) >> np.uint64(48 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-        parts = cells.astype("<u4").reshape(1 << RANGE_BITS, -1)
+                    np.add.at(cells, (np.concatenate(sets) >> np.uint64(48 - CELL_BITS)).astype(np.int64), np.uint32(1))
+        parts = cells.reshape(1 << RANGE_BITS, -1)
         yield pa.RecordBatch.from_pydict({
             "part": pa.array(range(len(parts)), pa.int32()),
             "counts": pa.array([zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in parts], pa.binary()),
@@ -347,6 +347,11 @@ def _fits(percent: int):
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
+    with small_batches(docs.sparkSession):
+        return _jaccard_components(docs, words, percent)
+
+
+def _jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     at = workspace(spark, "jaccard")
     shingler = Shingler(words, percent)
