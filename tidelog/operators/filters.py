@@ -24,7 +24,7 @@ def in_range(x: Column, start: int, end: int) -> Column:
         inside = (x >= start) | (x < end)
     else:
         return F.lit(False)
-    return F.coalesce((x >= 0) & inside, F.lit(False))
+    return x.isNotNull() & (x >= 0) & inside  # false for null without a wrapper, so that the scan gets the parts
 
 
 def allow_all() -> Column:
@@ -187,7 +187,7 @@ def payload_field(column: Column, op: str, value: str, kind: str) -> Column:
         a, b = column.cast("bigint"), F.lit(int(float(value)))
     else:
         a, b = column.cast("string"), F.lit(value)
-    return F.coalesce({"==": a == b, "<": a < b, ">": a > b}[op], F.lit(False))
+    return a.isNotNull() & {"==": a == b, "<": a < b, ">": a > b}[op]
 
 
 def metadata_range(key: Column, scn: Column, key_low: str | None = None, key_high: str | None = None, scn_low: int = 0, scn_high: int = 0) -> Column:

@@ -115,7 +115,7 @@ def _start(spark, sf):
     return spark.range(1).select(F.lit(start_scn([SourceState(r.a, r.p) for r in rows], 10)).cast("bigint").alias("start_scn"))
 
 
-@query("b11_bypass_snapshot", f"{W} SELECT bool_and(n <= 4000) AS bypass FROM (SELECT count(*) AS n FROM log WHERE scn >= 700 AND scn < 900 GROUP BY pp_id)")
+@query("b11_bypass_snapshot", f"{W} SELECT coalesce(bool_and(n <= 4000), true) AS bypass FROM (SELECT count(*) AS n FROM log WHERE scn >= 700 AND scn < 900 GROUP BY pp_id)")
 def _bypass(spark, sf):
     from ..plans.bootstrap import bypass_snapshot
 
