@@ -457,6 +457,48 @@ def test_language_rejects_junk(docs):
     assert list(rejected) == [True] * 3 and names[1:] == ["und"] * 2
 
 
+def brute_kneser_ney(texts):
+    """Share of each gram of the whole text by its characters, by length."""
+    level = collections.Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            line = "\1\1\1" + w + "\2"
+            level.update(line[i : i + 4] for i in range(len(line) - 3))
+    out, top = {}, level
+    for k in (4, 3, 2, 1):
+        total, ones, twos = collections.Counter(), sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        for g, n in level.items():
+            total[g[:-1]] += n
+        d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+        out[k] = {g: (n - d) / total[g[:-1]] for g, n in level.items()}
+        level = collections.Counter(g[1:] for g in level)
+    return top, out
+
+
+@pytest.fixture(scope="module")
+def wide_corpus(spark):
+    """A language of more than 100,000 distinct 4-grams, and 220 small ones."""
+    r = random.Random(3)
+    wide = [" ".join("".join(chr(r.randint(0x4E00, 0x5FFF)) for _ in range(3)) for _ in range(400)) for _ in range(100)]
+    small = [(f"l{i:03}", f"{chr(0x6000 + i) * 5} {chr(0x6000 + i) * 3}") for i in range(220)]
+    df = spark.createDataFrame([*[("wide", t) for t in wide], *small], "lang string, text string").repartition(3)
+    return wide, small, langid.train(df, F.lit(True))
+
+
+def test_models_hold_every_gram_and_language(wide_corpus):
+    wide, small, models = wide_corpus
+    top, shares = brute_kneser_ney(wide)
+    m = models.models[models.names.index("wide")]
+    assert len(top) > 100_000 and models.names == sorted(["wide", *[x for x, _ in small]])
+    for k in (1, 2, 3, 4):
+        hashes = langid.KneserNey._hash(np.array([[ord(c) for c in g] for g in shares[k]]))
+        at, there = m.grams[k - 1].find(hashes)
+        assert there.all() and len(m.grams[k - 1].hashes) == len(shares[k])
+        assert np.allclose(m.grams[k - 1].values[0][at], list(shares[k].values()), rtol=1e-5)
+    [(_, _, names, _, _)] = list(models.predict(pa.array([t for _, t in small])))
+    assert names == [x for x, _ in small]
+
+
 # --- pipeline
 
 

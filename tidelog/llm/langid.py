@@ -5,12 +5,12 @@ word ends) gives a word's probability; a document's language is the one with the
 per character. The models' n-grams are stored as sorted arrays of 64-bit hashes with their values.
 
 Training counts the n-grams of every labelled text, in each task over distinct words and then across
-tasks. The n-grams that go into a model are the MAX_NGRAMS most frequent of a language (a bound of the
-model's size, not of the text read), for MAX_LANGUAGES languages at most (the most frequent); lower orders
-are continuation counts of those, discounts are n1 / (n1 + 2 n2) at each order.
+tasks. All n-grams of all languages go into the models: lower orders are continuation counts, discounts are
+n1 / (n1 + 2 n2) at each order, and both are computed in Spark over the whole counts. The driver and each
+Python worker hold the finished models: 12 bytes for each distinct n-gram and context of each order.
 
-Rejection is calibrated on the training counts: they give the mean and the variance of a character's
-cost in its own language, and a document is rejected if its cost per character is above
+Rejection is calibrated on all training counts: scored by the finished models, they give the mean and the
+variance of a character's cost in its own language, and a document is rejected if its cost per character is above
 RATIO * mean + SIGMAS * deviation / sqrt(characters). A text without a letter is `und` and rejected.
 score is the winner's share of exp(-SHARPNESS * cross-entropy) over the languages, times the chance scale of rejection (halved if rejected).
 
@@ -32,21 +32,24 @@ from pyspark.sql import functions as F
 from ._shared import remove, workspace, written
 from .tokens import slices
 
-ORDER, MAX_NGRAMS, MAX_LANGUAGES = 4, 100_000, 200
+ORDER = 4
 RATIO, SIGMAS, SHARPNESS = 1.6, 6.0, 4.0
 UNKNOWN = "und"
 NO_LETTERS = r"\P{L}+"
 SLICE = 8 << 20
 MEMO = 400_000
+#: With more languages than this, slices and the memory of words' costs get shorter, as each word has a cost in each language.
+WIDE = 16
+CHAR = (1 << 21) - 1
 
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(ORDER)]
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+def _words(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct words, index of each word, offsets of the rows' words) for slices of texts."""
     texts = pc.fill_null(texts, "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    for lo, hi in slices(np.append(0, np.cumsum(sizes)), SLICE):
+    for lo, hi in slices(np.append(0, np.cumsum(sizes)), size):
         part = pc.utf8_lower(texts.slice(lo, hi - lo))
         lists = pc.split_pattern(pc.replace_substring_regex(part, NO_LETTERS, " "), " ")
         coded = lists.flatten().dictionary_encode()
@@ -114,8 +117,8 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w, n in zip(words.to_pylist(), np.bincount(index, minlength=len(words)).tolist(), strict=True):
                     if w:
                         own[w] = own.get(w, 0) + n
-                if len(own) > MEMO:
-                    yield out(lang)
+                if sum(map(len, held.values())) > MEMO:
+                    yield out(max(held, key=lambda x: len(held[x])))
     for lang in list(held):
         yield out(lang)
 
@@ -137,32 +140,10 @@ class Table:
 class KneserNey:
     """One language: grams[k] has the discounted share of each gram of k+1 characters, contexts[k] the weight left to the order below."""
 
-    def __init__(self, lines: np.ndarray, counts: np.ndarray):
-        """lines: (grams, ORDER) character codes; counts: of each."""
-        self.grams: list[Table] = []
-        self.contexts: list[Table | None] = []
-        level, n = lines, counts.astype(np.float64)
-        levels = []
-        for k in range(ORDER, 0, -1):
-            levels.append((level, n))
-            if k > 1:  # continuation counts: in how many contexts a shorter gram occurs
-                level, inverse = np.unique(level[:, 1:], axis=0, return_inverse=True)
-                n = np.bincount(inverse.ravel(), minlength=len(level)).astype(np.float64)
-        self.letters = len(levels[-1][0]) + 1
-        for level, n in reversed(levels):
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            d = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
-            _, group = np.unique(level[:, :-1], axis=0, return_inverse=True) if level.shape[1] > 1 else (None, np.zeros(len(level), np.int64))
-            group = group.ravel()
-            total, kinds = np.bincount(group, weights=n), np.bincount(group)
-            self.grams.append(Table(self._hash(level), (n - d) / total[group]))
-            self.contexts.append(Table(self._hash(level[:, :-1], context=True), (d * kinds / total)[group]) if level.shape[1] > 1 else None)
-            if level.shape[1] == 1:
-                self.rest = float(d * kinds[0] / total[0]) if len(level) else 1.0
-        costs = self.costs(*self._all(lines))
-        share = counts / counts.sum()
-        self.mean = float((share * costs).sum())
-        self.deviation = float(np.sqrt((share * (costs - self.mean) ** 2).sum()))
+    def __init__(self, grams: list[Table], contexts: list[Table | None], letters: int, rest: float):
+        """letters: one more than the known characters; rest: what is left to all characters alike."""
+        self.grams, self.contexts, self.letters, self.rest = grams, contexts, letters, rest
+        self.mean = self.deviation = 0.0  # of a character's cost, see calibrate
 
     @staticmethod
     def _hash(lines: np.ndarray, context: bool = False) -> np.ndarray:
@@ -213,7 +194,7 @@ class Models:
     def bits(self, words: list[str]) -> np.ndarray:
         """word_bits of distinct words; up to MEMO words are remembered between calls."""
         index = self._index
-        if len(index) > MEMO:
+        if len(index) > MEMO * WIDE // max(WIDE, len(self.names)):
             index.clear()
             self._rows = self._rows[:0]
         missed = [w for w in words if w not in index]
@@ -224,7 +205,7 @@ class Models:
 
     def predict(self, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
         """(first row, end row, languages, scores, rejected) for slices of texts."""
-        for lo, hi, words, index, o in _words(texts):
+        for lo, hi, words, index, o in _words(texts, SLICE * WIDE // max(WIDE, len(self.names))):
             names = words.to_pylist()
             lens = np.array([len(w) + 1 if w else 0 for w in names], np.int64)
             doc = np.repeat(np.arange(hi - lo), np.diff(o))
@@ -252,21 +233,111 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def levels(counted: DataFrame) -> DataFrame:
+    """lang, k, a, b, n for the grams of each length k: the counts of the highest, in how many contexts a shorter one occurs."""
+    out = level = counted.select("lang", F.lit(ORDER).alias("k"), "a", "b", "n")
+    for k, a, b in ((3, F.col("a").bitwiseAND(F.lit(CHAR)), F.col("b")), (2, F.lit(0), F.col("b")), (1, F.lit(0), F.col("b").bitwiseAND(F.lit(CHAR)))):
+        level = level.groupBy("lang", a.cast("bigint").alias("a"), b.alias("b")).agg(F.count("*").alias("n")).select("lang", F.lit(k).alias("k"), "a", "b", "n")
+        out = out.unionByName(level)
+    return out
+
+
+def shares(grams: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """lang, k, context, a, b, value of each gram and each context; lang, letters, rest of each language."""
+    ones, twos = F.sum((F.col("n") == 1).cast("bigint")), F.sum((F.col("n") == 2).cast("bigint"))
+    d = F.least(F.greatest(ones / F.greatest(ones + 2 * twos, F.lit(1)), F.lit(0.1)), F.lit(0.95))
+    discounts = written(grams.groupBy("lang", "k").agg(d.alias("d")), f"{at}/discounts")
+    before = F.shiftright("b", 21).alias("before")
+    contexts = written(
+        grams.groupBy("lang", "k", "a", before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(discounts, ["lang", "k"]), f"{at}/contexts"
+    )
+    left = F.col("d") * F.col("kinds") / F.col("total")
+    own = grams.select("*", before).join(contexts, ["lang", "k", "a", "before"]).select(
+        "lang", "k", F.lit(False).alias("context"), "a", "b", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("value")
+    )
+    of_contexts = contexts.filter("k > 1").select("lang", "k", F.lit(True).alias("context"), "a", F.col("before").alias("b"), left.cast("float").alias("value"))
+    rest = contexts.filter("k = 1").select("lang", (F.col("kinds") + 1).alias("letters"), left.alias("rest"))
+    return own.unionByName(of_contexts), rest
+
+
+def _lines(a: np.ndarray, b: np.ndarray, k: int = ORDER, context: bool = False) -> np.ndarray:
+    """The characters of packed grams of length k, or of the contexts before their last one."""
+    if context:
+        return np.stack([a >> 21, a & CHAR, b], 1)[:, ORDER - k :]
+    return np.stack([a >> 21, a & CHAR, b >> 21, b & CHAR], 1)[:, ORDER - k :]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted shares: lang, k, context and the hashes and values of each run of theirs."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        langs, runs = batch.column(0).dictionary_encode(), [batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
+        runs.append(langs.indices.to_numpy())
+        a, b, value = (batch.column(i).to_numpy() for i in (3, 4, 5))
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in runs], 0)) + 1
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            k, context = int(runs[0][lo]), bool(runs[1][lo])
+            hashes = KneserNey._hash(_lines(a[lo:hi], b[lo:hi], k, context), context)
+            out.append((langs.dictionary[runs[2][lo]].as_py(), k, context, hashes.tobytes(), value[lo:hi].tobytes()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)],
+            ["lang", "k", "context", "hashes", "shares"],
+        )
+
+
+def _moments(models):
+    """lang, n, s, q: the number of training characters, the sum of their costs and of the costs' squares."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = dict(zip(models.value.names, models.value.models, strict=True))
+        for batch in batches:
+            for lang in pc.unique(batch.column(0)).to_pylist():
+                a, b, n = (batch.column(i).filter(pc.equal(batch.column(0), lang)).to_numpy() for i in (1, 2, 3))
+                costs = own[lang].costs(*own[lang]._all(_lines(a, b)))
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "n": [int(n.sum())], "s": [float((n * costs).sum())], "q": [float((n * costs**2).sum())]})
+
+    return score
+
+
+def calibrate(models: Models, counted: DataFrame) -> None:
+    """Mean and deviation of a character's cost in its own language, over all counted grams."""
+    given = counted.sparkSession.sparkContext.broadcast(models)
+    found = counted.select("lang", "a", "b", "n").mapInArrow(_moments(given), "lang string, n bigint, s double, q double")
+    own = dict(zip(models.names, models.models, strict=True))
+    for r in found.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+        own[r["lang"]].mean = r["s"] / r["n"]
+        own[r["lang"]].deviation = max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0) ** 0.5
+    given.unpersist()
+
+
 def train(docs: DataFrame, learn: Column) -> Models:
     """Models of the labelled rows of docs (text, lang) where learn holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counted = rows.mapInArrow(_counter, "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    models: dict[str, KneserNey] = {}
     at = workspace(docs.sparkSession, "langid")
-    table = written(counted, at)
-    sizes = table.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    for lang in sorted(r["lang"] for r in sizes.collect()):
-        top = table.filter(F.col("lang") == lang).orderBy(F.desc("n"), "a", "b").limit(MAX_NGRAMS).select("a", "b", "n").toPandas()
-        a, b = top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64)
-        mask = (1 << 21) - 1
-        models[lang] = KneserNey(np.stack([a >> 21, a & mask, b >> 21, b & mask], 1), top["n"].to_numpy(np.int64))
+    table = written(counted, f"{at}/counts")
+    found, rest = shares(written(levels(table), f"{at}/grams"), at)
+    runs = found.orderBy("lang", "k", "context", "a", "b").mapInArrow(_packed, "lang string, k int, context boolean, hashes binary, shares binary")
+    parts: dict[tuple[str, int, bool], list[tuple[bytes, bytes]]] = {}
+    for r in written(runs, f"{at}/tables").toLocalIterator():
+        parts.setdefault((r["lang"], r["k"], r["context"]), []).append((r["hashes"], r["shares"]))
+
+    def taken(lang: str, k: int, context: bool) -> Table:
+        hashes, values = zip(*parts.pop((lang, k, context)), strict=True)
+        return Table(np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(values), np.float32))
+
+    orders = range(1, ORDER + 1)
+    models = Models({
+        r["lang"]: KneserNey(
+            [taken(r["lang"], k, False) for k in orders], [taken(r["lang"], k, True) if k > 1 else None for k in orders], r["letters"], r["rest"]
+        )
+        for r in rest.collect()
+    })
+    calibrate(models, table)
     remove(docs.sparkSession, at)
-    return Models(models)
+    return models
 
 
 def _scorer(models, keep: list[str]):
