@@ -499,6 +499,26 @@ def test_models_hold_every_gram_and_language(wide_corpus):
     assert names == [x for x, _ in small]
 
 
+def test_calibration_is_over_all_training_grams(wide_corpus):
+    wide, _, models = wide_corpus
+    top, shares = brute_kneser_ney(wide)
+    left = {k: collections.Counter() for k in shares}
+    for k in shares:
+        for g, x in shares[k].items():
+            left[k][g[:-1]] += x
+
+    def p(g):
+        low = 1 / (len(shares[1]) + 1) if len(g) == 1 else p(g[1:])
+        return shares[len(g)][g] + (1 - left[len(g)][g[:-1]]) * low
+
+    costs, n = -np.log2([p(g) for g in top]), np.array(list(top.values()))
+    mean = (n * costs).sum() / n.sum()
+    m = models.models[models.names.index("wide")]
+    assert abs(m.mean - mean) < 1e-3 and abs(m.deviation - np.sqrt((n * (costs - mean) ** 2).sum() / n.sum())) < 1e-3
+    [(_, _, _, _, rejected)] = list(langid.Models({"wide": m}).predict(pa.array(wide)))
+    assert not rejected.any()
+
+
 # --- pipeline
 
 
