@@ -385,6 +385,25 @@ def test_jaccard_hot_groups(spark, monkeypatch):
     assert components_got(df) == brute_components(rows)
 
 
+def test_jaccard_link_counts(spark, monkeypatch):
+    """Links inside a large group of near copies that are not all linked to each other, copies, short, empty and null texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    r = random.Random(5)
+    rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (4, "x y"), (4, "x y"), (5, "x z")]
+    for i in range(70):
+        w = [f"b{k}" for k in range(120)]
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 9999)}"
+        rows += [(100 + i, " ".join(w))] * (1 + i % 3)
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))) for w in ((t or "").split() for _, t in rows)]
+    linked = [[bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    want = sorted(((d, sum(row) - bool(a)) for (d, _), a, row in zip(rows, sets, linked, strict=True)), key=str)
+    big = [sum(row) for row in linked[7:]]
+    assert min(big) < max(big) < len(rows) - 7
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(((x.doc_id, x.n_links) for x in jaccard.jaccard_components(df, links=True).collect()), key=str) == want
+
+
 def test_components(spark, tmp_path):
     r = random.Random(1)
     links = [(r.randint(-50, 50), r.randint(-50, 50)) for _ in range(60)] + [(i, i + 1) for i in range(1000, 1040)]

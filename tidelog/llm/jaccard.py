@@ -12,7 +12,9 @@ are all made:
  2. short columns (COLUMN nodes at most) whose nodes are still in several components: the pairs across;
  3. long columns of that kind: nodes outside the column's main component visit it, in blocks of BLOCK
     nodes by BLOCK visitors; a block gives one link for each visitor and component.
-A pair inside one component needs no comparison, since only components are returned.
+A pair inside one component needs no comparison for the components. Links are counted afterwards, where asked
+for: linked sets share a component, so in each component of several nodes all pairs of nodes are compared, in
+blocks of BLOCK by BLOCK; equal texts weigh as many links as there are copies.
 
 Shingles are 48-bit hashes of word hashes; sets are compared by them. Nodes are 64-bit hashes of sets.
 Defined results. Null, empty or blank text: empty set, linked with nothing. Fewer words than the shingle
@@ -333,6 +335,54 @@ def _visit(percent: int):
     return visit
 
 
+def _count(percent: int):
+    """Of the nodes of two blocks (i, j) of a component: node, links, the documents of the other block that each is linked with."""
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        items = frame[frame["s"] == i]
+        guests = frame[frame["s"] == j]
+        if not len(items) or not len(guests):
+            return pd.DataFrame({"node": [], "links": []}).astype("int64")
+        toks = [unpack48(x) for x in items["toks"]]
+        sizes = np.array([len(x) for x in toks])
+        flat = np.concatenate(toks)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(toks)), sizes)[order]
+        words, starts = np.unique(flat[order], return_index=True)
+        starts = np.append(starts, len(flat))
+        nodes, copies = items["node"].to_numpy(), items["copies"].to_numpy()
+        of_items, of_guests = np.zeros(len(nodes), np.int64), []
+        for node, own, data in zip(guests["node"], guests["copies"], guests["toks"], strict=True):
+            x = unpack48(data)
+            at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+            at = at[words[at] == x]
+            lo, n = starts[at], starts[at + 1] - starts[at]
+            ends = np.cumsum(n)
+            both = np.bincount(owner[np.repeat(lo - (ends - n), n) + np.arange(n.sum())], minlength=len(toks))
+            good = (100 * both >= percent * (len(x) + sizes - both)) & (both > 0) & (nodes != node)
+            of_guests.append(copies[good].sum())
+            of_items[good] += own
+        links = np.array(of_guests, np.int64)
+        if i == j:
+            return pd.DataFrame({"node": guests["node"].to_numpy(), "links": links})
+        return pd.DataFrame({"node": np.append(guests["node"].to_numpy(), nodes), "links": np.append(links, of_items)})
+
+    return count
+
+
+def link_counts(coded: DataFrame, named: DataFrame, at: str, percent: int) -> DataFrame:
+    """node, links for the nodes of components (node, copies, label) that have several: documents with other sets linked with each."""
+    sizes = named.groupBy("label").agg(F.count("*").alias("k")).filter("k > 1").select("label", F.expr(f"int((k + {BLOCK - 1}) div {BLOCK})").alias("nb"))
+    members = written(named.join(sizes, "label").withColumn("s", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")), f"{at}/members")
+    sets = written(sets_of(coded, members.select("node")), f"{at}/member_sets")
+    placed = members.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        "node", "copies", "label", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")
+    )
+    met = placed.join(sets.select("node", "toks"), "node")
+    return met.groupBy("label", "i", "j").applyInPandas(_count(percent), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def _bound(c, nx: str, ny: str, percent: int):
     """Whether c shared prefix columns leave the needed overlap possible."""
     ceil = lambda n: F.expr(f"({percent} * {n} + 99) div 100")
@@ -345,13 +395,13 @@ def _fits(percent: int):
     return F.expr(f"100 * nx >= {percent} * ny AND 100 * ny >= {percent} * nx")
 
 
-def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; with links also n_links, the number of other rows it is linked with."""
     with small_batches(docs.sparkSession):
-        return _jaccard_components(docs, words, percent)
+        return _jaccard_components(docs, words, percent, links)
 
 
-def _jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _jaccard_components(docs: DataFrame, words: int, percent: int, counted_links: bool) -> DataFrame:
     spark = docs.sparkSession
     at = workspace(spark, "jaccard")
     shingler = Shingler(words, percent)
@@ -428,16 +478,22 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     links = links1.unionByName(links2).unionByName(links3)
     labels = components(links, f"{at}/round2")
-    classes = coded.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = coded.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = named.select("node", "label").join(least, "label").select("node", "component_id")
+    if counted_links:
+        named = written(named.select("node", "copies", "label"), f"{at}/named")
+        others = written(link_counts(coded, named, at, percent), f"{at}/link_counts")
+        total = named.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        of_node = of_node.join(total, "node")
     # the hot nodes of large groups of copies spread by a salt; the other side is repeated for each
     salts = 16
     docs_ = coded.select("doc_id", "node", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     salted = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = docs_.join(salted, ["node", "salt"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted_links else []),
     )
     out = written(out, f"{at}-out")
     remove(spark, at)
@@ -445,4 +501,4 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=True)
