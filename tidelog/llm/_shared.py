@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,24 +13,44 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A key is hot when it holds more than this share of the rows, so 1 / HOT_SHARE keys at most are.
-HOT_SHARE = 1 / 1000
+#: A key is hot when it holds more than this share of the rows, or more than HOT_ROWS of them.
+HOT_SHARE, HOT_ROWS = 1 / 1000, 1 << 20
+#: Tables of keys are broadcast up to so many rows; beyond, they meet in a shuffle.
+BROADCAST_ROWS = 200_000
+
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path for one run of an operator."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for one run of an operator; release() deletes it."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """A mark for release()."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables that operators have written since the mark.
+
+    Results of operators are lazy and read these tables, so this is for when results have been consumed."""
+    while len(_MADE) > since:
+        remove(spark, _MADE.pop())
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -44,6 +65,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a written table, as stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of so many rows for what is written inside, since rows hold whole texts or sets; the setting is put back."""
@@ -69,12 +96,22 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def hot_rows(total: int, least: int = 64) -> int:
+    """A key with more rows than this is hot: a share of all rows, but never more than HOT_ROWS."""
+    return min(max(least, int(total * HOT_SHARE)), HOT_ROWS)
+
+
+def few(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """keys (a table), to be broadcast where their counted rows are few enough; else Spark chooses the join."""
+    return F.broadcast(keys) if (keys.count() if n is None else n) <= BROADCAST_ROWS else keys
+
+
 def hot_keys(rows: DataFrame, at: str, *, buckets: int = 1 << 16, least: int = 64) -> DataFrame:
-    """The keys (h1, h2) with more than HOT_SHARE of the rows, `least` at any rate; 1 / HOT_SHARE rows at most.
+    """The keys (h1, h2) with more than hot_rows() of the rows.
 
-    Two counts with map-side combination: of hash buckets, then of the keys inside the few
-    buckets that are large enough to hold a hot key. rows must be cheap to read (a table)."""
-    most = max(least, int(rows.count() * HOT_SHARE))
+    Two counts with map-side combination: of hash buckets (so many at most, which may be broadcast), then of the
+    keys inside the buckets that are large enough to hold a hot key. rows must be cheap to read (a table)."""
+    most = hot_rows(rows.count(), least)
     b = F.pmod("h1", F.lit(buckets)).alias("b")
     large = rows.groupBy(b).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("b")
     inside = rows.select(b, "h1", "h2").join(F.broadcast(large), "b")

@@ -4,9 +4,9 @@ Method: hashes of line keys are range-partitioned and sorted by key, then docume
 and position; the first occurrences stream by in that order, and what comes back per document is a
 compressed bitmap of its lines, not text. Native: DataFrame functions only.
 
-A key with more than a thousandth of all occurrences is counted with map-side combination instead,
-since sorting would put it into one task; there are a thousand such keys at most, so their keepers
-are broadcast. Both ways give the same answer.
+A key with more than a thousandth of all occurrences, or with over a million, is counted with map-side
+combination instead, since sorting would put it into one task; the keepers of these keys are broadcast
+where they are counted and few, and else joined. Both ways give the same answer.
 
 Defined results. Null or empty text: one empty line. Null doc_id: a document below every other.
 Rows with the same doc_id count as one document towards `min_docs`; each row gets its own bitmap by
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import ASCII_SPACE, ascii_lower, hash128, hot_keys, row_key, workspace, written
+from ._shared import ASCII_SPACE, ascii_lower, few, hash128, hot_keys, row_key, workspace, written
 
 WORD = 32
 
@@ -33,7 +33,9 @@ def line_key(line: Column) -> Column:
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2) of each long enough key with its document, the row's key and the line's position."""
-    rows = docs.select("doc_id", *row_key("doc_id", "text"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    # the row's key comes before the lines, else its hashes of the whole text would be taken again for every line
+    keyed = docs.select("doc_id", *row_key("doc_id", "text"), lines_of(F.col("text")).alias("lines"))
+    rows = keyed.select("doc_id", "k1", "k2", F.posexplode("lines").alias("pos", "line"))
     keys = rows.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
     return keys.select(*hash128("key"), "doc_id", "k1", "k2", "pos")
 
@@ -46,10 +48,11 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) ->
     at = workspace(spark, "line_dedup")
     occ = written(occurrences(docs, min_chars), f"{at}/occurrences")
     hot = hot_keys(occ, f"{at}/hot")
+    n_hot = hot.count()
 
     ordered = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").desc_nulls_last())
     ranked = (
-        occ.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
+        occ.join(few(hot, n_hot), ["h1", "h2"], "left_anti")
         .repartitionByRange("h1", "h2")
         .sortWithinPartitions("h1", "h2", F.col("doc_id").desc_nulls_last(), "pos")
         .withColumn("nth", F.dense_rank().over(ordered))
@@ -57,13 +60,14 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) ->
     )
     cold_out = ranked.filter((F.col("nth") > 1) & (F.col("n_docs") >= min_docs))
 
-    hot_occ = occ.join(F.broadcast(hot), ["h1", "h2"])
-    keepers = (
+    hot_occ = occ.join(few(hot, n_hot), ["h1", "h2"])
+    keepers = written(
         hot_occ.select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count("*").alias("n_docs"))
-        .filter(F.col("n_docs") >= min_docs)
+        .filter(F.col("n_docs") >= min_docs),
+        f"{at}/keepers",
     )
-    hot_out = occ.join(F.broadcast(keepers), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    hot_out = occ.join(few(keepers, n_hot), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
 
     gone = cold_out.select("k1", "k2", "pos").unionByName(hot_out.select("k1", "k2", "pos"))
     bit = F.expr(f"shiftleft(1L, pos % {WORD})")
@@ -77,10 +81,11 @@ def keep_bitmaps(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) ->
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text as the bitmaps say; the columns must not be there yet."""
     found = docs.select("*", *row_key("doc_id", "text")).join(bitmaps, ["k1", "k2"], "left").drop("k1", "k2")
-    dense = F.expr(
-        "transform(sequence(0, element_at(words, -1).word), w -> coalesce(element_at(map_from_entries(words), w), 0L))"
-    )
-    found = found.withColumn("words", F.when(F.col("words").isNotNull(), dense)).withColumn("lines", lines_of(F.col("text")))
+    # each word's bits stand after as many empty words as lie between it and the one before
+    dense = F.flatten(F.transform("words", lambda w, i: F.concat(
+        F.array_repeat(F.lit(0).cast("long"), w["word"] - F.when(i > 0, F.col("words")[i - 1]["word"]).otherwise(F.lit(-1)) - 1), F.array(w["bits"])
+    )))
+    found = found.withColumn("words", dense).withColumn("lines", lines_of(F.col("text")))
     kept = F.expr(
         f"filter(lines, (line, i) -> shiftright(coalesce(get(words, int(i div {WORD})), 0L), i % {WORD}) % 2 = 0)"
     )

@@ -1,9 +1,9 @@
 r"""Secret scans with corpus-wide ownership frequency. Native: DataFrame functions only.
 
 Patterns give candidates with their spans; the candidates' hashes are then aggregated over the whole
-corpus by distinct repositories and owners. A value that many owners hold is a widely copied example,
-one that few hold looks like a live credential. Base spans always stay; the frequencies label them, and
-decide which opaque tokens (no keyword, but long and mixed) become spans as well.
+corpus by distinct repositories and owners. A value that many owners or many repositories hold is a widely
+copied example, one that few of both hold looks like a live credential. Base spans always stay; the frequencies
+label them, and decide which opaque tokens (no keyword, but long and mixed) become spans as well.
 
 `documents` has no repository: there a document stands for one, and its source is the owner.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import HOT_SHARE, hash128, row_key, workspace, written
+from ._shared import few, hash128, hot_rows, row_key, workspace, written
 
 
 def _either(word: str) -> str:
@@ -41,6 +41,8 @@ BASE = (
 #: A long token of letters and digits; it counts as opaque if it has a digit, a capital and a small letter.
 OPAQUE = ("opaque", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
 KINDS = [k for k, *_ in (*BASE, OPAQUE)]
+#: A value is live up to so many owners and so many repositories.
+LIVE_OWNERS, LIVE_REPOS = 2, 20
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -91,20 +93,24 @@ def ownership(cands: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, *, repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = 2) -> DataFrame:
+def scan(
+    docs: DataFrame, *, repo_col: str = "doc_id", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS
+) -> DataFrame:
     """k1, k2 (row_key of repo, owner, text), spans: array of (start, kind_no, end, live), sorted, for rows that have any.
 
-    live: at most `live_owners` owners hold the value. Opaque tokens are spans only where live."""
+    live: at most `live_owners` owners and `live_repos` repositories hold the value. Opaque tokens are spans only where live."""
     at = workspace(docs.sparkSession, "secret_scan")
     slim = docs.select(F.col(repo_col).alias("doc_id"), F.col(owner_col).alias("owner"), "text")
     cands = written(candidates(slim), f"{at}/candidates")
     total = cands.count()
     freq = written(ownership(cands), f"{at}/ownership")
-    # values with over a thousandth of the candidates are a thousand at most: broadcast; the others meet in a shuffle
-    hot = freq.filter(F.col("n_rows") > max(64, int(total * HOT_SHARE)))
-    hot_rows = cands.join(F.broadcast(hot), ["h1", "h2"])
-    cold_rows = cands.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(freq, ["h1", "h2"])
-    judged = hot_rows.unionByName(cold_rows).withColumn("live", F.col("n_owners") <= live_owners)
+    # values that very many candidates have are few: broadcast once counted; the others meet in a shuffle
+    hot = freq.filter(F.col("n_rows") > hot_rows(total))
+    n_hot = hot.count()
+    of_hot = cands.join(few(hot, n_hot), ["h1", "h2"])
+    of_cold = cands.join(few(hot.select("h1", "h2"), n_hot), ["h1", "h2"], "left_anti").join(freq, ["h1", "h2"])
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos)
+    judged = of_hot.unionByName(of_cold).withColumn("live", live)
     spans = judged.filter((F.col("kind_no") < len(BASE)) | F.col("live"))
     return spans.groupBy("k1", "k2").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "live"))).alias("spans")
@@ -169,8 +175,8 @@ def _sql() -> str:
     said = f"{name} || ':' || start::BIGINT || ':' || \"end\"::BIGINT"
     return f"""
 WITH c AS ({' UNION ALL '.join(parts)}),
-f AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners FROM c GROUP BY value),
-s AS (SELECT c.*, f.n_owners <= 2 AS live FROM c JOIN f USING (value) WHERE kind_no < {len(BASE)} OR f.n_owners <= 2),
+f AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) <= {LIVE_OWNERS} AND count(DISTINCT doc_id) <= {LIVE_REPOS} AS live FROM c GROUP BY value),
+s AS (SELECT c.*, f.live FROM c JOIN f USING (value) WHERE kind_no < {len(BASE)} OR f.live),
 g AS (SELECT doc_id, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access,
   count(*) FILTER (WHERE kind_no = 2) AS n_hex, count(*) FILTER (WHERE live) AS n_live,
   string_agg({said}, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no < {len(BASE)}) AS base,
