@@ -1,8 +1,12 @@
-"""Connected components of a table of links, by alternating stars; labels are the smallest node of each component."""
+"""Connected components of a table of links, by alternating stars; labels are the smallest node of each component.
+
+Defined results. Links of a node with itself, repeated and reversed links, extra columns: no effect. A link with a null
+end: left out. No links: no rows. Components that have not settled after `rounds` rounds: an error, never unfinished labels.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ._shared import remove, written
@@ -26,7 +30,7 @@ def components(links: DataFrame, at: str, *, rounds: int = 50) -> DataFrame:
     """node, label for every node of links (x, y); at: a folder for the tables between rounds."""
     spark = links.sparkSession
     edges = written(links.select(F.col("x").alias("u"), F.col("y").alias("v")).filter("u <> v").distinct(), f"{at}/0")
-    seen = None
+    seen: Row | None = None
     for i in range(1, rounds + 1):
         last, edges = f"{at}/{i - 1}", written(_stars(_stars(edges, True), False), f"{at}/{i}")
         remove(spark, last)
@@ -34,6 +38,8 @@ def components(links: DataFrame, at: str, *, rounds: int = 50) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     # every node but the least of its component has one edge, to that
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())

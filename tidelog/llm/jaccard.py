@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import remove, small_batches, workspace, written
@@ -41,7 +41,9 @@ from .tokens import slices, text_buffers
 
 WORDS, PERCENT = 5, 80
 CELL_BITS, RANGE_BITS, COLUMN, BLOCK, PIVOTS = 22, 6, 64, 512, 3
-NODE_BITS = 24
+NODE_BITS, MOST_NODE_BITS, SEEN = 24, 28, 1 << 20
+#: Bytes of a text that are hashed at once.
+PART = 512 << 10
 MASK48 = np.uint64((1 << 48) - 1)
 _P = 0x9E3779B97F4A7C15 | 1
 _MULT = np.array([pow(_P, k + 3, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -69,7 +71,30 @@ class Shingler:
         self._down = self._up
 
     def _word_hashes(self, raw: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every word, and the offsets of each text's words. Words hash as polynomials, read off running sums."""
+        """Hash of every word, and the offsets of each text's words. Texts of over PART bytes are taken in parts, cut before white space."""
+        if len(raw) <= 2 * PART:
+            return self._part_hashes(raw, o)
+        found, at, n = [], 0, 0
+        offsets = np.zeros(len(o), np.int64)
+        while at < len(raw):
+            end = min(at + PART, len(raw))
+            while end < len(raw):  # to the next white space
+                look = raw[end : end + PART]
+                space = np.flatnonzero((look == 32) | ((look >= 9) & (look <= 13)))
+                end += int(space[0]) if len(space) else len(look)
+                if len(space):
+                    break
+            lo, hi = np.searchsorted(o, [at, end], "left")
+            inner = np.concatenate([[0], o[lo:hi] - at, [end - at]])
+            h, wo = self._part_hashes(raw[at:end], inner)
+            offsets[lo:hi] = n + wo[1:-1]
+            found.append(h)
+            at, n = end, n + len(h)
+        offsets[np.searchsorted(o, len(raw), "left") :] = n
+        return np.concatenate(found), offsets
+
+    def _part_hashes(self, raw: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words hash as polynomials, read off running sums."""
         lower = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
         space = (raw == 32) | ((raw >= 9) & (raw <= 13))
         edge = np.zeros(len(raw) + 1, bool)
@@ -77,17 +102,19 @@ class Shingler:
         before = np.append(True, space[:-1]) | edge[:-1]
         after = np.append(space[1:], True) | edge[1:]
         starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-        if len(self._up) <= len(raw):
-            self._up = _powers(_P, len(raw) + 1)
-            self._down = _powers(pow(_P, -1, 1 << 64), len(raw) + 1)
-        sums = np.append(np.uint64(0), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * self._up[: len(raw)], dtype=np.uint64))
-        h = (sums[ends] - sums[starts]) * self._down[starts]
+        up, down = self._up, self._down
+        if len(up) <= len(raw):
+            up, down = _powers(_P, len(raw) + 1), _powers(pow(_P, -1, 1 << 64), len(raw) + 1)
+            if len(raw) <= 4 * PART:  # those of a longer word are not kept
+                self._up, self._down = up, down
+        sums = np.append(np.uint64(0), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64))
+        h = (sums[ends] - sums[starts]) * down[starts]
         return _mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, o)
 
     def sets(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         offsets, raw = text_buffers(texts)
         k = self.words
-        for lo, hi in slices(offsets, 512 << 10):
+        for lo, hi in slices(offsets, PART):
             o = offsets[lo : hi + 1] - offsets[lo]
             w, wo = self._word_hashes(raw[offsets[lo] : offsets[hi]], o)
             padded = np.append(w, np.zeros(k, np.uint64))
@@ -166,13 +193,12 @@ def frequent_cells(docs: DataFrame, shingler: Shingler) -> np.ndarray:
 
 
 def _coder(shingler: Shingler, bits):
-    """doc_id, node (hash of the set), n, toks: the set in the global order."""
+    """doc_id, k1, k2, node (hash of the set), n, toks: the set in the global order."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(bits.value)
         for batch in batches:
-            own = batch.column(0)
-            for lo, sets in shingler.sets(batch.column(1)):
+            for lo, sets in shingler.sets(batch.column(3)):
                 nodes, toks = [], []
                 for s in sets:
                     late = often[(s >> np.uint64(48 - CELL_BITS)).astype(np.int64)] == 1
@@ -180,7 +206,7 @@ def _coder(shingler: Shingler, bits):
                     toks.append(data)
                     nodes.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": own.slice(lo, len(sets)),
+                    **{c: batch.column(i).slice(lo, len(sets)) for i, c in enumerate(("doc_id", "k1", "k2"))},
                     "node": pa.array(nodes, pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "toks": pa.array(toks, pa.binary()),
@@ -193,12 +219,13 @@ def _prefix_rows(percent: int):
     """t, node, n for the prefix columns of each node, once for each task."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # spares the exchange some of a hot node's rows; _shared_rows drops the others
         for batch in batches:
             t, node, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, n, toks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if n and i not in seen:
-                    seen.add(i)
+                    if len(seen) < SEEN:
+                        seen.add(i)
                     p = prefix_length(n, percent)
                     t.append(unpack48(memoryview(toks.as_buffer())[: 6 * p]))
                     node.append(np.full(p, i))
@@ -211,68 +238,82 @@ def _prefix_rows(percent: int):
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by t and node, distinct, those whose column has another node; also the first and last
-    column of the partition, which may go on in its neighbours."""
-    kept: list[np.ndarray] | None = None
-    first = True
+    """Of rows sorted by t and node, those whose column has another node, distinct; also the first and last
+    column of the partition, which may go on in its neighbours.
+
+    Holds one row from batch to batch: the last one, if its column has no other node yet."""
+    last: tuple[int, int] | None = None  # t and node of the row before
+    waits: list[np.ndarray] | None = None
+    first = None
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy() for i in range(3)]
-        if kept is not None:
-            cols = [np.append(a, b) for a, b in zip(kept, cols, strict=True)]
-        new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+        t, node = cols[0], cols[1]
+        new = np.append(last != (t[0], node[0]), (t[1:] != t[:-1]) | (node[1:] != node[:-1]))
+        before = None if last is None else last[0]
+        last = int(t[-1]), int(node[-1])
         cols = [c[new] for c in cols]
         t = cols[0]
-        start = int(np.searchsorted(t, t[-1]))  # the last column may go on in the next batch
-        if start == 0:
-            kept = cols
+        if not len(t):
             continue
-        kept = [c[start:] for c in cols]
-        cols = [c[:start] for c in cols]
-        t = cols[0]
-        shared = np.append(t[1:] == t[:-1], False) | np.append(False, t[1:] == t[:-1])
-        if first:
-            shared |= t == t[0]
-            first = False
-        yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in cols], ["t", "node", "n"])
-    if kept is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["t", "node", "n"])
-
-
-def _keep_nodes(bits):
+        if first is None:
+            first = t[0]
+        out = []
+        if waits is not None and waits[0][0] == t[0]:
+            out.append(waits)
+        shared = np.append(before == t[0], t[1:] == t[:-1]) | np.append(t[1:] == t[:-1], False) | (t == first)
+        waits = None if shared[-1] else [c[-1:] for c in cols]
+        out.append([c[shared] for c in cols])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["t", "node", "n"])
+    if waits is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in waits], ["t", "node", "n"])
+
+
+def _keep_nodes(bits, size: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(bits.value, bitorder="little")
+        on = bits.value
         seen: set[int] = set()
         for batch in batches:
             nodes = batch.column(0).to_numpy()
-            good = on[nodes & ((1 << NODE_BITS) - 1)] == 1
+            at = nodes & ((1 << size) - 1)
+            good = (on[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             for i in np.flatnonzero(good):
                 if nodes[i] in seen:
                     good[i] = False
-                seen.add(nodes[i])
+                elif len(seen) < SEEN:
+                    seen.add(nodes[i])
             yield batch.filter(pa.array(good))
 
     return keep
 
 
-def sets_of(coded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, toks of about the given nodes (others by collision of a bitmap of fixed size, 2 MB); distinct."""
-    spark = coded.sparkSession
-    cell = F.col("node").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
-    rows = (
-        nodes.select(cell.alias("c")).groupBy(F.expr("bitmap_bucket_number(c)").alias("b"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect()
-    )
-    # Spark's buckets are of 32768 positions; bucket 1 begins at position 1, bucket 0 holds position 0 alone
-    on = np.zeros((1 << NODE_BITS) // 8 + 8192, np.uint8)
-    for r in rows:
-        flags = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-        base = (r["b"] - 1) * 32768 + 1 if r["b"] > 0 else 0
-        at = base + np.flatnonzero(flags)
-        np.bitwise_or.at(on, at // 8, (1 << (at % 8)).astype(np.uint8))
-    bits = spark.sparkContext.broadcast(on)
-    kept = coded.select("node", "n", "toks").mapInArrow(_keep_nodes(bits), "node bigint, n bigint, toks binary")
+def sets_of(coded: DataFrame, nodes: DataFrame, given: list) -> DataFrame:
+    """node, n, toks of the given nodes (of some others too while a bitmap chooses them); distinct.
+
+    A bitmap of some 8 places a node, 2 to 32 MB, keeps most other sets out of the exchange; where more nodes are asked
+    for, the table of nodes itself does. given: takes the broadcast, to be released when the result has been read."""
+    nodes = nodes.select("node").distinct()
+    k = nodes.count()
+    size = min(max(NODE_BITS, (8 * k).bit_length()), MOST_NODE_BITS)
+    kept = coded.select("node", "n", "toks")
+    if 2 * k > 1 << size:
+        kept = kept.join(nodes, "node", "left_semi")
+    else:
+        cell = F.col("node").bitwiseAND(F.lit((1 << size) - 1))
+        rows = (
+            nodes.select(cell.alias("c")).groupBy(F.expr("bitmap_bucket_number(c)").alias("b"))
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).toLocalIterator()
+        )
+        # Spark's buckets are of 32768 positions; bucket 1 begins at position 1, bucket 0 holds position 0 alone
+        on = np.zeros((1 << size) // 8 + 8192, np.uint8)
+        for r in rows:
+            flags = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+            base = (r["b"] - 1) * 32768 + 1 if r["b"] > 0 else 0
+            at = base + np.flatnonzero(flags)
+            np.bitwise_or.at(on, at // 8, (1 << (at % 8)).astype(np.uint8))
+        given.append(coded.sparkSession.sparkContext.broadcast(on))
+        kept = kept.mapInArrow(_keep_nodes(given[-1], size), "node bigint, n bigint, toks binary")
     return kept.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
 
 
@@ -289,14 +330,14 @@ def _linked(percent: int):
     return check
 
 
-def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int, given: list) -> DataFrame:
     """The pairs (x, y) whose whole sets are similar enough.
 
     The sets of all x come out of one exchange already dealt by x; those of y, which many x may share, lie in a
     table, so that both sides of that join are plain exchanges which Spark may split where a y is hot."""
     pairs = written(pairs.select("x", "y"), f"{at}/pairs")
-    left = sets_of(coded, pairs.select(F.col("x").alias("node")).distinct()).select(F.col("node").alias("x"), F.col("toks").alias("a"))
-    right = written(sets_of(coded, pairs.select(F.col("y").alias("node")).distinct()), f"{at}/sets").select(F.col("node").alias("y"), F.col("toks").alias("b"))
+    left = sets_of(coded, pairs.select(F.col("x").alias("node")), given).select(F.col("node").alias("x"), F.col("toks").alias("a"))
+    right = written(sets_of(coded, pairs.select(F.col("y").alias("node")), given), f"{at}/sets").select(F.col("node").alias("y"), F.col("toks").alias("b"))
     met = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
     links = written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links")
     remove(pairs.sparkSession, f"{at}/sets")
@@ -371,11 +412,11 @@ def _count(percent: int):
     return count
 
 
-def link_counts(coded: DataFrame, named: DataFrame, at: str, percent: int) -> DataFrame:
+def link_counts(coded: DataFrame, named: DataFrame, at: str, percent: int, given: list) -> DataFrame:
     """node, links for the nodes of components (node, copies, label) that have several: documents with other sets linked with each."""
     sizes = named.groupBy("label").agg(F.count("*").alias("k")).filter("k > 1").select("label", F.expr(f"int((k + {BLOCK - 1}) div {BLOCK})").alias("nb"))
     members = written(named.join(sizes, "label").withColumn("s", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")), f"{at}/members")
-    sets = written(sets_of(coded, members.select("node")), f"{at}/member_sets")
+    sets = written(sets_of(coded, members, given), f"{at}/member_sets")
     placed = members.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "node", "copies", "label", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")
     )
@@ -395,19 +436,27 @@ def _fits(percent: int):
     return F.expr(f"100 * nx >= {percent} * ny AND 100 * ny >= {percent} * nx")
 
 
-def jaccard_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; with links also n_links, the number of other rows it is linked with."""
+def jaccard_components(
+    docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, links: bool = False, key: tuple[Column, Column] | None = None
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; with links also n_links, the number of other rows it is linked with.
+
+    With key, two bigints that name a row, also k1, k2 and leads: whether it is the row with the least doc_id (null last),
+    then key, of its component, or without a set. Rows of equal doc_id, text and key lead together."""
+    k1, k2 = key or (F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     with small_batches(docs.sparkSession):
-        return _jaccard_components(docs, words, percent, links)
+        rows = docs.select("doc_id", k1.alias("__k1"), k2.alias("__k2"), "text").toDF("doc_id", "k1", "k2", "text")
+        out = _jaccard_components(rows, words, percent, links)
+    return out if key else out.drop("k1", "k2", "leads")
 
 
-def _jaccard_components(docs: DataFrame, words: int, percent: int, counted_links: bool) -> DataFrame:
-    spark = docs.sparkSession
+def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links: bool) -> DataFrame:
+    spark = rows.sparkSession
     at = workspace(spark, "jaccard")
     shingler = Shingler(words, percent)
-    rows = docs.select("doc_id", "text")
     bits = spark.sparkContext.broadcast(frequent_cells(rows, shingler))
-    coded = written(rows.mapInArrow(_coder(shingler, bits), "doc_id bigint, node bigint, n bigint, toks binary"), f"{at}/coded")
+    given = [bits]
+    coded = written(rows.mapInArrow(_coder(shingler, bits), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n bigint, toks binary"), f"{at}/coded")
 
     prefix = coded.select("node", "n", "toks").mapInArrow(_prefix_rows(percent), "t bigint, node bigint, n bigint")
     dealt = prefix.repartitionByRange("t", "node").sortWithinPartitions("t", "node")
@@ -426,7 +475,7 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int, counted_links
         .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y1"), F.min_by("y", F.struct(-F.col("c"), "y")).alias("y2"))
         .select("x", F.explode(F.array_distinct(F.array("y1", "y2"))).alias("y"))
     )
-    links1 = verified(star, coded, f"{at}/star", percent)
+    links1 = verified(star, coded, f"{at}/star", percent, given)
     labels1 = written(components(links1, f"{at}/round1"), f"{at}/labels1")
 
     # columns that still hold several components
@@ -449,7 +498,7 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int, counted_links
         .join(in_long.select(F.col("node").alias("y"), F.col("k").alias("ky")), "y", "left")
         .withColumn("c", F.col("c") + F.least(F.coalesce("kx", F.lit(0)), F.coalesce("ky", F.lit(0))))
     )
-    links2 = verified(extra.filter(_bound(F.col("c"), "nx", "ny", percent)), coded, f"{at}/across", percent)
+    links2 = verified(extra.filter(_bound(F.col("c"), "nx", "ny", percent)), coded, f"{at}/across", percent, given)
 
     # 3. long columns: visitors of the main component
     main = (
@@ -472,31 +521,35 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int, counted_links
         items.join(grid, "main").select("main", "node", "label", F.lit(False).alias("visits"), spot("ni").alias("i"), every("ng").alias("g"))
         .unionByName(guests.join(grid, "main").select("main", "node", "label", F.lit(True).alias("visits"), every("ni").alias("i"), spot("ng").alias("g")))
     )
-    sets = written(sets_of(coded, items.select("node").distinct()), f"{at}/visit_sets")
+    sets = written(sets_of(coded, items, given), f"{at}/visit_sets")
     met = placed.join(sets.select("node", "toks"), "node")
     links3 = met.groupBy("main", "i", "g").applyInPandas(_visit(percent), "x bigint, y bigint")
 
     links = links1.unionByName(links2).unionByName(links3)
     labels = components(links, f"{at}/round2")
-    classes = coded.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    classes = coded.filter("n > 0").groupBy("node").agg(first, F.count("*").alias("copies"))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.select("node", "label").join(least, "label").select("node", "component_id")
+    least = named.groupBy("label").agg(F.min("first").alias("first"))
+    of_node = named.select("node", "label").join(least, "label").select("node", "first")
     if counted_links:
         named = written(named.select("node", "copies", "label"), f"{at}/named")
-        others = written(link_counts(coded, named, at, percent), f"{at}/link_counts")
+        others = written(link_counts(coded, named, at, percent, given), f"{at}/link_counts")
         total = named.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
         of_node = of_node.join(total, "node")
     # the hot nodes of large groups of copies spread by a salt; the other side is repeated for each
     salts = 16
-    docs_ = coded.select("doc_id", "node", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    docs_ = coded.select("doc_id", "k1", "k2", "node", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(salts)).cast("int"))
     salted = of_node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = docs_.join(salted, ["node", "salt"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "k1", "k2",
+        ((F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")))).alias("leads"),
         *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted_links else []),
     )
-    out = written(out, f"{at}-out")
+    out = written(out, workspace(spark, "jaccard-out"))
     remove(spark, at)
+    for b in given:
+        b.unpersist()
     return out
 
 
