@@ -5,6 +5,9 @@ documents are range-sorted by key (then id, so that equal keys split), and each
 to end into sequences. A sequence has `length` tokens; what a partition has left is cut into powers of
 two, which need no padding. So there is no padding at all.
 
+Documents travel in pieces of PIECE tokens at most, so ranges that hold equally many rows hold about equally
+many tokens, however long a document is; the number of ranges follows the volume of tokens.
+
 Defined results. Null or empty text: the end id alone. Null doc_id: sorts first among equal keys.
 Repeated rows: each is packed. Empty table: no rows. Other columns are not read.
 """
@@ -19,10 +22,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import workspace, written
+from ._shared import stored_bytes, workspace, written
 from .tokens import library_encoder, tokenizer_path
 
 DIMS, ORDER, FEATURES, SEED = 4, 10, 256, 20
+#: Tokens of a piece of a document on its way to its range; bytes of stored tokens that a range should hold.
+PIECE, RANGE_BYTES = 1 << 14, 32 << 20
 
 OUT = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -62,6 +67,19 @@ def hilbert_key(cells: np.ndarray, order: int = ORDER) -> np.ndarray:
     return key
 
 
+class Features:
+    """The projection of ids, as far as a vocabulary has been seen."""
+
+    def __init__(self):
+        self._table = projection(1 << 16)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        top = int(ids.max(initial=0))
+        if top >= len(self._table):
+            self._table = projection(1 << top.bit_length())
+        return self._table
+
+
 def keys_of(ids: np.ndarray, o: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents whose ids lie between consecutive offsets o; an empty one has the middle cell."""
     n = np.diff(o)
@@ -74,20 +92,27 @@ def keys_of(ids: np.ndarray, o: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _coder(path: str, end_id: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
-        table = projection(1 << 16)
+        features = Features()
         for batch in batches:
             own = batch.column(0)
             for lo, hi, flat, o in encoder(batch.column(1)):
-                keys = keys_of(np.minimum(flat, (1 << 16) - 1), o, table)
+                keys = keys_of(flat, o, features(flat))
                 small = flat.astype("<u2") if not len(flat) or flat.max() < 1 << 16 and end_id < 1 << 16 else None
                 wide = small is None
                 data = flat.astype("<u4") if wide else small
                 end = np.array([end_id], data.dtype).tobytes()
-                rows = [data[o[i] : o[i + 1]].tobytes() + end for i in range(hi - lo)]
+                rows, doc, start = [], [], []
+                for i, (s, e) in enumerate(zip(o[:-1].tolist(), o[1:].tolist(), strict=True)):
+                    for at in range(s, max(e, s + 1), PIECE):
+                        rows.append(data[at : min(at + PIECE, e)].tobytes() + (end if at + PIECE >= e else b""))
+                        doc.append(i)
+                        start.append(at - s)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": own.slice(lo, hi - lo),
-                    "key": pa.array(keys, pa.int64()),
-                    "wide": pa.array([wide] * (hi - lo), pa.bool_()),
+                    "doc_id": own.slice(lo, hi - lo).take(pa.array(doc)),
+                    "key": pa.array(keys[doc], pa.int64()),
+                    "start": pa.array(start, pa.int64()),
+                    "n": pa.array((np.diff(o) + 1)[doc], pa.int64()),
+                    "wide": pa.array([wide] * len(doc), pa.bool_()),
                     "ids": pa.array(rows, pa.binary()),
                 })
 
@@ -103,11 +128,12 @@ class _Packer:
         self.used = 0
         self.rows: list[tuple] = []
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        at, n = 0, len(ids)
-        while at < n:
-            take = min(n - at, self.length - self.used)
-            self.open.append((doc_id, at, ids[at : at + take], n))
+    def add(self, doc_id, start: int, n: int, ids: np.ndarray) -> None:
+        """The ids from start on of a document of n."""
+        at = 0
+        while at < len(ids):
+            take = min(len(ids) - at, self.length - self.used)
+            self.open.append((doc_id, start + at, ids[at : at + take], n))
             self.used += take
             at += take
             if self.used == self.length:
@@ -139,8 +165,8 @@ def _packing(length: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(length, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, wide, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                packer.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
+            for doc_id, start, n, wide, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                packer.add(doc_id, start, n, np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2"))
             yield packer.take()
         packer.finish()
         yield packer.take()
@@ -151,9 +177,11 @@ def _packing(length: int):
 def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 2, length: int = 4096) -> DataFrame:
     """A row for each piece of a document in a sequence (OUT)."""
     at = workspace(docs.sparkSession, "packing")
-    coded = docs.select("doc_id", "text").mapInArrow(_coder(tokenizer, end_id), "doc_id bigint, key bigint, wide boolean, ids binary")
-    placed = written(coded, at).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return placed.select("doc_id", "wide", "ids").mapInArrow(_packing(length), OUT)
+    schema = "doc_id bigint, key bigint, start bigint, n bigint, wide boolean, ids binary"
+    coded = written(docs.select("doc_id", "text").mapInArrow(_coder(tokenizer, end_id), schema), at)
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(docs.sparkSession, at) // RANGE_BYTES + 1)
+    placed = coded.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
+    return placed.select("doc_id", "start", "n", "wide", "ids").mapInArrow(_packing(length), OUT)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

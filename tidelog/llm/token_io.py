@@ -74,9 +74,10 @@ def _writer(path: str, end_id: int):
 
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 1) -> None:
     """Encodes every text and writes the files."""
-    # the range is by id alone: the keys sampled for it come to the driver
-    placed = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    placed.mapInArrow(_writer(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
+    # rows of one id, or without, are dealt by their texts' beginnings, as the keys sampled for the ranges come to the driver
+    dealt = docs.select("doc_id", "text", F.substring("text", 1, 32).alias("begin")).repartitionByRange("doc_id", "begin")
+    placed = dealt.sortWithinPartitions("doc_id", "text")
+    placed.select("doc_id", "text").mapInArrow(_writer(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def run_ids(row: dict) -> np.ndarray:
