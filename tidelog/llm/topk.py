@@ -1,20 +1,21 @@
 """Exact top-k by inner product with a pivot table.
 
-Every vector's distances to many pivots are computed once. By the triangle inequality the greatest
-difference of two vectors' pivot distances is a lower bound of their distance, and so gives an upper bound
-of their inner product: (|q|^2 + |c|^2 - bound^2) / 2. A query evaluates a block's candidates in the
-order of that bound and stops exactly when its k-th score is above every bound that is left (a bound
-equal to the score is still evaluated, for ties).
+Every vector's distances to many pivots are computed once, where vectors are packed into blocks, and travel with
+the blocks. By the triangle inequality the greatest difference of two vectors' pivot distances is a lower bound of
+their distance, and so gives an upper bound of their inner product: (|q|^2 + |c|^2 - bound^2) / 2. A query evaluates a
+block's candidates in the order of that bound and stops exactly when its k-th score is above every bound that is
+left (a bound equal to the score is still evaluated, for ties).
 
-Queries and candidates meet in blocks: candidates are packed QUERY_BLOCK rows and more to a row, queries
-likewise, and each candidate block is sent to each query block. A task holds two blocks at a time, gives
-at most k rows for each query, and the rest is a ranking with partial results.
+Queries and candidates meet in blocks: candidates are packed CANDIDATE_BLOCK rows to a row, queries QUERY_BLOCK, and
+each query block is sent to each partition of candidates. A task meets a query block with all its candidate blocks in
+turn, so the best k of the blocks before prune the next one, and gives k rows at most for each query.
 
 Vectors are integers: floor(scale * x), x as double. Defined results. Vectors that are null or hold a
 null or non-finite component, and rows with a null vec_id, take no part. Vectors of different lengths are not compared.
 Rows that repeat both vec_id and vector count once; if a vec_id has several vectors, every one is a
 query or a candidate (never of its own id). Ties: the smaller vec_id. No candidates: no rows. Other columns are not read.
-Components must be below 2**20 in size after scaling and vectors shorter than 2**12, for sums to be exact.
+Scores are exact: in double precision while sums stay below 2**53, beyond in 64-bit integers, beyond those in Python's. A component or
+score that no bigint holds is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK, PIVOTS, STEP = 512, 4096, 32, 64
+#: Query blocks whose best a task holds at once.
+HELD = 16
 
 
 def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
@@ -39,8 +42,19 @@ def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
     return v.distinct().withColumn("dim", F.size("v"))
 
 
+def pivots_of(dim: int, n: int = PIVOTS, spread: float = 128.0) -> np.ndarray:
+    """Fixed pivots: directions of a seeded generator; any points keep the bounds valid."""
+    return np.random.default_rng(dim + 1).standard_normal((n, dim)) * spread
+
+
+def pivot_distances(vectors: np.ndarray) -> np.ndarray:
+    """(pivots, vectors)."""
+    x, pivots = vectors.astype(np.float64), pivots_of(vectors.shape[1])
+    return np.sqrt(np.maximum((pivots * pivots).sum(1)[:, None] + (x * x).sum(1) - 2 * pivots @ x.T, 0)).astype("<f4")
+
+
 def _packed(size: int):
-    """Blocks of up to size rows of one dimension from each partition: dim, ids, matrix."""
+    """Blocks of up to size rows of one dimension from each partition: dim, ids, matrix, far (distances to the pivots)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -48,9 +62,11 @@ def _packed(size: int):
         def out(dim: int) -> pa.RecordBatch:
             rows = held.pop(dim)
             ids = np.array([i for i, _ in rows], "<i8")
-            matrix = np.stack([v for _, v in rows]).astype("<i4") if dim else np.zeros((len(rows), 0), "<i4")
+            matrix = np.stack([v for _, v in rows]) if dim else np.zeros((len(rows), 0), "<i8")
+            small = np.abs(matrix.astype(np.float64)).max(initial=0) < 1 << 31
             return pa.RecordBatch.from_pydict({
-                "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([matrix.tobytes()], pa.binary()),
+                "dim": pa.array([dim], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()),
+                "matrix": pa.array([matrix.astype("<i4" if small else "<i8").tobytes()], pa.binary()), "far": pa.array([pivot_distances(matrix).tobytes()], pa.binary()),
             })
 
         for batch in batches:
@@ -68,55 +84,86 @@ def _packed(size: int):
     return pack
 
 
-def pivots_of(dim: int, n: int = PIVOTS, spread: float = 128.0) -> np.ndarray:
-    """Fixed pivots: directions of a seeded generator; any points keep the bounds valid."""
-    return np.random.default_rng(dim + 1).standard_normal((n, dim)) * spread
-
-
-def block_topk(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's best k in one block."""
-    pivots = pivots_of(q.shape[1])
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    q2, c2 = (qf * qf).sum(1), (cf * cf).sum(1)
-    p2 = (pivots * pivots).sum(1)
-    dq = np.sqrt(np.maximum(q2[:, None] + p2 - 2 * qf @ pivots.T, 0))
-    dc = np.sqrt(np.maximum(c2[:, None] + p2 - 2 * cf @ pivots.T, 0))
-    slack = 1e-6 * (np.sqrt(q2.max(initial=0)) + np.sqrt(c2.max(initial=0)) + np.sqrt(p2.max(initial=0)) + 1)
-    out_q, out_c, out_s = [], [], []
-    for i in range(len(q)):
-        far = np.zeros(len(c))
-        for p in range(len(pivots)):
-            np.maximum(far, np.abs(dc[:, p] - dq[i, p]), out=far)
-        far = np.maximum(far - slack, 0)
-        bound = (q2[i] + c2 - far * far) / 2 + 1e-6 * (q2[i] + c2) + 1
-        bound[c_ids == q_ids[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound > -np.inf))]
-        best_s, best_c = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, STEP
-        while at < len(order) and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
-            rows = order[at : at + step]
-            s = np.append(best_s, cf[rows] @ qf[i])
-            ids = np.append(best_c, c_ids[rows])
-            keep = np.lexsort((ids, -s))[:k]
-            best_s, best_c = s[keep], ids[keep]
-            at, step = at + step, min(step * 2, 4096)
-        out_q.append(np.full(len(best_s), q_ids[i]))
-        out_c.append(best_c)
-        out_s.append(best_s)
-    none = [np.zeros(0)]
-    return np.concatenate(out_q or none), np.concatenate(out_c or none), np.concatenate(out_s or none)
+class Block:
+    """Packed vectors: ids, integer matrix, its float64 form, squared norms, distances to the pivots."""
+
+    def __init__(self, dim: int, ids: bytes, matrix: bytes, far: bytes):
+        self.ids = np.frombuffer(ids, "<i8")
+        wide = dim and len(matrix) == 8 * dim * len(self.ids)
+        self.whole = np.frombuffer(matrix, "<i8" if wide else "<i4").reshape(len(self.ids), dim)
+        self.real = self.whole.astype(np.float64)
+        self.norms = (self.real * self.real).sum(1)
+        self.far = np.frombuffer(far, "<f4").reshape(PIVOTS, len(self.ids))
+        self.top = np.abs(self.real).max(initial=0)
+
+
+def _scores(q: Block, i: int, c: Block, rows: np.ndarray) -> np.ndarray:
+    """Inner products of query i with rows of c, as exact integers."""
+    most = q.top * c.top * max(q.whole.shape[1], 1)
+    if most < 2.0**53:
+        few = 4 * len(rows) < len(c.ids)  # else the whole block costs less than taking its rows out
+        return (c.real[rows] @ q.real[i] if few else (c.real @ q.real[i])[rows]).astype(np.int64)
+    if most < 2.0**62:
+        return c.whole[rows].astype(np.int64) @ q.whole[i].astype(np.int64)
+    exact = [sum(map(int.__mul__, x, y)) for y in [q.whole[i].tolist()] for x in c.whole[rows].tolist()]
+    if max(map(abs, exact), default=0) >= 1 << 63:
+        raise OverflowError("a score does not fit in 64 bits")
+    return np.array(exact, np.int64)
+
+
+def block_topk(q: Block, c: Block, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Improves best, the scores and vec_ids of each query of q so far, by the candidates of c."""
+    slack = np.float32(1e-6 * (np.sqrt(q.norms.max(initial=0)) + np.sqrt(c.norms.max(initial=0)) + 1) + 1e-3)
+    for i in range(len(q.ids)):
+        far = np.zeros(len(c.ids), np.float32)
+        for p in range(PIVOTS):
+            np.maximum(far, np.abs(c.far[p] - q.far[p, i]), out=far)
+        far = np.maximum(far - slack, 0).astype(np.float64)
+        bound = (q.norms[i] + c.norms - far * far) / 2 + 1e-6 * (q.norms[i] + c.norms) + 1
+        bound[c.ids == q.ids[i]] = -np.inf
+        scores, ids = best[i]
+        live, step = np.flatnonzero(bound >= scores[-1] if len(scores) >= k else bound > -np.inf), STEP
+        while len(live):
+            # the next ones in the order of the bound, in ever larger steps
+            rows, live = (live, live[:0]) if len(live) <= step else np.split(live[np.argpartition(-bound[live], step)], [step])
+            s, step = _scores(q, i, c, rows), step * 8
+            if len(scores) >= k:
+                good = s >= scores[-1]
+                s, rows = s[good], rows[good]
+            s, found = np.append(scores, s), np.append(ids, c.ids[rows])
+            keep = np.lexsort((found, -s))
+            # several vectors of one id with equal scores count once
+            new = np.append(True, (s[keep][1:] != s[keep][:-1]) | (found[keep][1:] != found[keep][:-1]))[: len(keep)]
+            scores, ids = s[keep][new][:k], found[keep][new][:k]
+            if len(scores) >= k:
+                live = live[bound[live] >= scores[-1]]
+        best[i] = scores, ids
 
 
 def _searcher(k: int):
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: dict[tuple[int, int], tuple[Block, list]] = {}
+
+        def out(key: tuple[int, int]) -> pd.DataFrame:
+            q, best = held.pop(key)
+            sizes = [len(s) for s, _ in best]
+            return pd.DataFrame({
+                "query_id": np.repeat(q.ids, sizes), "vec_id": np.concatenate([i for _, i in best]), "score": np.concatenate([s for s, _ in best]),
+            })
+
         for frame in frames:
             for row in frame.itertuples(index=False):
-                q_ids, c_ids = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.ids, "<i8")
-                q = np.frombuffer(row.q_matrix, "<i4").reshape(len(q_ids), row.dim)
-                c = np.frombuffer(row.matrix, "<i4").reshape(len(c_ids), row.dim)
-                a, b, s = block_topk(q_ids, q, c_ids, c, k)
-                yield pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": s.astype(np.int64)})
+                key = row.q_block, row.dim
+                if key not in held:
+                    if len(held) >= HELD:
+                        yield out(next(iter(held)))
+                    q = Block(row.dim, row.q_ids, row.q_matrix, row.q_far)
+                    held[key] = q, [none] * len(q.ids)
+                q, best = held[key]
+                block_topk(q, Block(row.dim, row.ids, row.matrix, row.far), k, best)
+        for key in list(held):
+            yield out(key)
 
     return search
 
@@ -125,17 +172,19 @@ def top_k(rows: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256) ->
     """query_id, rank (from 1), vec_id, score: each query's k best of all rows but its own."""
     vectors = integer_vectors(rows, scale)
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    schema = "dim int, ids binary, matrix binary"
+    schema = "dim int, ids binary, matrix binary, far binary"
     dealt = vectors.repartition(n, F.xxhash64("vec_id"))
     queries = (
         dealt.filter(is_query).coalesce(max(1, n // 8)).select("vec_id", "v").mapInArrow(_packed(QUERY_BLOCK), schema)
-        .select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.monotonically_increasing_id().alias("q_block"))
+        .select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("far").alias("q_far"), F.monotonically_increasing_id().alias("q_block"))
     )
     candidates = dealt.select("vec_id", "v").mapInArrow(_packed(CANDIDATE_BLOCK), schema).withColumn("part", F.spark_partition_id())
     # each query block goes to each partition of candidate blocks: the given set against all rows, in blocks
     sent = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    met = candidates.join(sent, ["part", "dim"])
-    found = met.select("dim", "q_ids", "q_matrix", "ids", "matrix").mapInPandas(_searcher(k), "query_id bigint, vec_id bigint, score bigint")
+    # query blocks on the left: a merge join meets each of them with all candidates of its partition in turn
+    met = sent.join(candidates.hint("merge"), ["part", "dim"])
+    columns = ("dim", "q_block", "q_ids", "q_matrix", "q_far", "ids", "matrix", "far")
+    found = met.select(*columns).mapInPandas(_searcher(k), "query_id bigint, vec_id bigint, score bigint")
     ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
