@@ -26,14 +26,14 @@ PIECES = r"(?s)^.{1,8}|.{1,32}"
 
 
 def _hex8(h: Column) -> Column:
-    return F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    return F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """df with <prefix>fp (string) and <prefix>nodes (array of int) of column text (not null)."""
+    """df with <prefix>fp (string) and <prefix>nodes (array of bigint) of column text (not null)."""
 
     def paragraph(p):
-        pieces = F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.hash(x))
+        pieces = F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.xxhash64(x))
         return F.struct(F.sha2(p, 256).alias("d"), pieces.alias("pieces"))
 
     def section(s):
@@ -50,9 +50,9 @@ def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     paras = F.flatten(t)
     nodes = F.array_distinct(F.concat(
         F.flatten(F.transform(paras, lambda p: p["pieces"])),
-        F.transform(paras, lambda p: F.hash(p["d"], F.lit(1))),
-        F.transform(f"{prefix}secs", lambda d: F.hash(d, F.lit(2))),
-        F.array(F.hash(f"{prefix}root", F.lit(3))),
+        F.transform(paras, lambda p: F.xxhash64(p["d"], F.lit(1))),
+        F.transform(f"{prefix}secs", lambda d: F.xxhash64(d, F.lit(2))),
+        F.array(F.xxhash64(f"{prefix}root", F.lit(3))),
     ))
     return (
         df.withColumn(f"{prefix}fp", F.concat(f"{prefix}root", said))
@@ -75,14 +75,62 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.col("a_fp").alias("fingerprint"))
 
 
+def _paragraphs(fp: Column) -> Column:
+    """The digests of a fingerprint's paragraphs with their pieces, over all sections."""
+    branches = F.slice(F.split(F.replace(fp, F.lit("/"), F.lit(",/")), ","), 2, 1 << 30)
+    return F.filter(branches, lambda x: ~x.startswith("/"))
+
+
+def _aligned(fp_a: Column, fp_b: Column) -> Column:
+    """Array of one struct: the paragraphs' branches a and b of both, and how many of them agree at the head and at the tail."""
+    same = F.substring(fp_a, 1, 64) == F.substring(fp_b, 1, 64)
+    none = F.expr("cast(array() as array<string>)")
+    trees = F.struct(F.when(same, none).otherwise(_paragraphs(fp_a)).alias("a"), F.when(same, none).otherwise(_paragraphs(fp_b)).alias("b"))
+
+    def common(x: Column, y: Column) -> Column:
+        n = F.least(F.size(x), F.size(y))
+        first = F.array_position(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: p == q), False)
+        return F.when(first > 0, first.cast("int") - 1).otherwise(n)
+
+    def with_head(t):
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), common(t["a"], t["b"]).alias("head"))
+
+    def with_tail(t):
+        rest = lambda x: F.reverse(F.slice(x, t["head"] + 1, F.size(x) - t["head"]))
+        return F.struct(t["a"].alias("a"), t["b"].alias("b"), t["head"].alias("head"), common(rest(t["a"]), rest(t["b"])).alias("tail"))
+
+    # each step's result is an element, so that it is computed once
+    return F.transform(F.transform(F.array(trees), with_head), with_tail)
+
+
+def edit_range(fp_a: Column, fp_b: Column) -> Column:
+    """Where two trees differ: struct of a_from, a_to, b_from, b_to, ranges of paragraphs over all sections (from 0, ends exclusive).
+
+    Equal roots: empty ranges at 0. Branches are aligned from both ends by their digests, so a paragraph put in or
+    taken out moves no other; several edits are inside one range."""
+
+    def ends(t):
+        return F.struct(
+            t["head"].alias("a_from"), (F.size(t["a"]) - t["tail"]).alias("a_to"), t["head"].alias("b_from"), (F.size(t["b"]) - t["tail"]).alias("b_to"),
+        )
+
+    return F.transform(_aligned(fp_a, fp_b), ends)[0]
+
+
 def differing(fp_a: Column, fp_b: Column) -> Column:
-    """Array of paragraph positions (over all sections, from 0) at which two fingerprints differ; empty if the roots agree."""
-    branches = lambda fp: F.slice(F.split(F.replace(fp, F.lit("/"), F.lit(",/")), ","), 2, 1 << 30)
-    leaves = lambda fp: F.filter(branches(fp), lambda x: ~x.startswith("/"))
-    pairs = F.arrays_zip(leaves(fp_a).alias("a"), leaves(fp_b).alias("b"))
-    marks = F.transform(pairs, lambda x, i: F.when(x["a"].eqNullSafe(x["b"]), F.lit(None)).otherwise(i))
-    none = F.expr("cast(array() as array<int>)")
-    return F.when(F.substring(fp_a, 1, 64) == F.substring(fp_b, 1, 64), none).otherwise(F.array_compact(marks))
+    """Positions of a's paragraphs (over all sections, from 0) inside edit_range whose branch b's range lacks; empty if the roots agree.
+
+    Compares the range's paragraphs with those that b lacks, which is quadratic for long texts without anything in common."""
+
+    def only(t):
+        inner = lambda x: F.slice(x, t["head"] + 1, F.size(x) - t["head"] - t["tail"])
+        lone = F.array_except(inner(t["a"]), inner(t["b"]))
+        marks = F.transform(F.array(F.struct(inner(t["a"]).alias("x"), lone.alias("lone"))), lambda s: F.transform(
+            s["x"], lambda p, i: F.when(F.array_contains(s["lone"], p), t["head"] + i)
+        ))
+        return F.array_compact(marks[0])
+
+    return F.transform(_aligned(fp_a, fp_b), only)[0]
 
 
 def ring(ids: DataFrame, at: str) -> DataFrame:
@@ -105,7 +153,7 @@ def ring(ids: DataFrame, at: str) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every row with its fingerprint, that of its edited text (the second half replaced by the start of the
-    next document) and the likenesses; edited_text is the last column.
+    next document), the likenesses and edited, the edit_range between both; edited_text is the last column.
 
     Texts are shuffled once by id; that exchange serves as the rows and as the texts which others look at."""
     at = workspace(docs.sparkSession, "fingerprints")
@@ -132,6 +180,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.col("e_fp").alias("edited_fingerprint"),
         likeness("a_nodes", "e_nodes", "a_fp", "e_fp").alias("near_edited"),
         likeness("a_nodes", "n_nodes", "a_fp", "n_fp").alias("near_next"),
+        edit_range(F.col("a_fp"), F.col("e_fp")).alias("edited"),
         "edited_text",
     )
 
@@ -139,5 +188,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
-        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.col("edited.a_from").alias("edit_from"), F.col("edited.a_to").alias("edit_to"),
     )
