@@ -21,7 +21,7 @@ language in order of name. Repeated rows: each counts and each comes back. Empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ ORDER = 4
 RATIO, SIGMAS, SHARPNESS = 1.6, 6.0, 4.0
 UNKNOWN = "und"
 NO_LETTERS = r"\P{L}+"
-SLICE = 8 << 20
-MEMO = 400_000
+SLICE = 4 << 20
+MEMO = 300_000
 #: With more languages than this, slices and the memory of words' costs get shorter, as each word has a cost in each language.
 WIDE = 16
 CHAR = (1 << 21) - 1
@@ -186,9 +186,12 @@ class Models:
             first = np.append(True, owner[1:] != owner[:-1])
             before[first] = KneserNey._hash(np.full((1, k), 1))[0]
             contexts.append(before)
+        # the highest gram says all shorter ones and the contexts, and few of them are distinct
+        _, one, each = np.unique(grams[-1], return_index=True, return_inverse=True)
+        grams, contexts = [g[one] for g in grams], [c[one] for c in contexts]
         out = np.zeros((len(words), len(self.models)))
         for i, m in enumerate(self.models):
-            out[:, i] = np.bincount(owner, weights=m.costs(grams, contexts), minlength=len(words))
+            out[:, i] = np.bincount(owner, weights=m.costs(grams, contexts)[each], minlength=len(words))
         return out
 
     def bits(self, words: list[str]) -> np.ndarray:
@@ -340,31 +343,39 @@ def train(docs: DataFrame, learn: Column) -> Models:
     return models
 
 
-def _scorer(models, keep: list[str]):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, names, scores, rejected in models.value.predict(batch.column("text")):
-                part = batch.select(keep).slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-                    [*keep, "__lang", "__score", "__rejected"],
-                )
+FOUND = "lang string, score double, rejected boolean"
 
-    return score
+
+def scorer(spark: SparkSession, models: Models) -> Callable[[Column], Column]:
+    """Function of a text column that gives struct(lang, score, rejected).
+
+    Texts alone go to Python; the rows' other columns stay where they are. The models are broadcast, and given
+    up with the function."""
+    given = spark.sparkContext.broadcast(models)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for _, _, names, scores, rejected in given.value.predict(texts):
+                parts.append(pa.StructArray.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"],
+                ))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+
+    return F.arrow_udf(score, FOUND)
 
 
 def predict(docs: DataFrame, models: Models, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, with __lang, __score and __rejected from its text."""
-    schema = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    given = docs.select(*dict.fromkeys([*keep, "text"]))
-    return given.mapInArrow(
-        _scorer(docs.sparkSession.sparkContext.broadcast(models), keep), f"{schema}, __lang string, __score double, __rejected boolean"
-    )
+    """The columns keep of docs, with __lang, __score and __rejected from its text; columns of these names are replaced."""
+    names = ("lang", "score", "rejected")
+    kept = [F.col(f"`{c}`") for c in keep if c not in {f"__{x}" for x in names}]
+    found = docs.select(F.struct(*kept, F.lit(0).alias("__")).alias("row"), scorer(docs.sparkSession, models)(F.col("text")).alias("found"))
+    out = found.select("row.*", *[F.col(f"found.{x}").alias(f"__{x}") for x in names])
+    return out.drop("__")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     models = train(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id")))
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    found = predict(rows, models, ["doc_id", "held_out"])
-    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(spark, models)(F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.rejected").alias("rejected"))
