@@ -61,6 +61,18 @@ def test_line_dedup_hot_lines(spark):
     assert lines_got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_lines(rows)
 
 
+def test_line_dedup_many_lines(spark):
+    """Three equal documents of very many lines: the work is linear in them."""
+    import time
+
+    n = 100_000
+    text = "\n".join(f"a line of this very document {j}" for j in range(n))
+    began = time.time()
+    got = line_dedup.line_dedup(spark.createDataFrame([(i, text) for i in range(3)], "doc_id bigint, text string")).select("doc_id", "n_dropped", F.md5("kept_text").alias("m")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(0, n), (1, n), (2, 0)] and time.time() - began < 60
+    assert {r.doc_id: r.m for r in got}[2] == hashlib.md5(text.encode()).hexdigest()
+
+
 # --- 2 fingerprints
 
 
@@ -103,6 +115,20 @@ def test_fingerprints_tell_edits(spark, docs):
     assert [r[0] for r in two.select(fingerprints.differing(F.col("a_fp"), F.col("b_fp"))).collect()] == [[1, 4], []]
 
 
+def test_fingerprints_align_branches(spark):
+    pairs = [("a\nb\nc", "a\nX\nb\nc"), ("a\nb\nc", "a\nc"), ("p", "q\n\nr"), ("same", "same"), ("a\na\nb", "a\nb"), ("", "z")]
+    two = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for c in "ab":
+        two = fingerprints.with_tree(two, c, f"{c}_")
+    a, b = F.col("a_fp"), F.col("b_fp")
+    got = two.orderBy("i").select(fingerprints.differing(a, b).alias("a"), fingerprints.differing(b, a).alias("b"), fingerprints.edit_range(a, b).alias("r")).collect()
+    assert [(r.a, r.b) for r in got] == [([], [1]), ([1], []), ([0], [0, 1]), ([], []), ([1], []), ([0], [0])]
+    for (x, y), r in zip(pairs, got, strict=True):
+        x, y = x.split("\n"), y.split("\n")
+        if "" not in x + y:
+            assert x[: r.r.a_from] == y[: r.r.b_from] and (x == y or x[r.r.a_to :] == y[r.r.b_to :])
+
+
 def test_single_document(spark):
     r = fingerprints.edited_fingerprints(spark.createDataFrame([(4, "abcdef")], "doc_id bigint, text string")).collect()
     assert [(x.edited_text, x.near_next) for x in r] == [("abcabc", 1.0)]
@@ -132,6 +158,42 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.filter("false")).count() == 0
 
 
+def test_loss_is_read_through_the_mask(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "one ### two"), (1, 2, "assistant", "é\\ three")]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    loss = lambda df: chat_format.read_back(df).collect()[0].loss
+    assert loss(formatted) == ["one ### two", "é\\ three"]
+
+    def moved(**by):
+        fields = ("turn_index", "context_chars", "loss_start", "loss_chars")
+        return formatted.withColumn("examples", F.transform("examples", lambda e: F.struct(*[(e[f] + by.get(f, 0)).cast("int" if f == "turn_index" else "bigint").alias(f) for f in fields])))
+
+    assert loss(moved(loss_start=1, loss_chars=-1)) == ["ne ### two", "\\ three"]
+    for wrong in ({"context_chars": 1}, {"loss_start": -40}, {"loss_chars": 40}, {"turn_index": 7}):
+        with pytest.raises(Exception, match="mask does not fit"):
+            loss(moved(**wrong))
+
+
+def test_long_conversation(spark):
+    import time
+
+    turns = spark.range(40_000).select(
+        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("reply é </turn> "), F.col("id").cast("string")).alias("text"),
+    )
+    began = time.time()
+    parsed = chat_format.parse(chat_format.format_conversations(turns)).select("conv_id", "examples", "pieces", "starts")
+    [r] = chat_format.losses(parsed).collect()
+    assert list(r.loss) == [f"reply é </turn> {i}" for i in range(1, 40_000, 2)] and time.time() - began < 60
+
+
+def test_running_sums(spark):
+    sizes = [[], [5], list(range(700)), [0] * 256, [3] * 257]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, x array<bigint>")
+    for r in df.select("i", chat_format.running_sums(F.col("x")).alias("s")).collect():
+        assert r.s == [sum(sizes[r.i][:k]) for k in range(len(sizes[r.i]))]
+
+
 # --- 6 secrets
 
 
@@ -171,6 +233,14 @@ def test_secret_ownership_and_redaction(spark):
     assert sum(not f.live for f in flags) == 90
 
 
+def test_secret_in_many_repositories_of_one_owner(spark):
+    """Copied through many repositories, a value is no live credential, however few own them."""
+    rows = [(i, "key Q7xLm2Rz9PvT4nBw8KsY6dGh and password=abcdefghijkl", "s0") for i in range(30)] + [(100 + i, "key Z7xLm2Rz9PvT4nBw8KsY6dGh", "s0") for i in range(20)]
+    spans = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    found = collections.Counter((s.kind_no, s.live) for r in spans for s in r.spans)
+    assert found == {(0, False): 30, (3, True): 20}
+
+
 # --- tokens, 4, 5, 10
 
 
@@ -325,6 +395,15 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_large_components(spark):
+    rows = [(0, [2.0]), (1, [1.0]), (2, [16777216.0]), (50, [2.0**40]), (3, [-(2.0**30)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df.filter("vec_id < 50"), F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_topk([r for r in rows if r[0] < 50])
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
 # --- 7 Jaccard
 
 
@@ -404,6 +483,43 @@ def test_jaccard_link_counts(spark, monkeypatch):
     assert sorted(((x.doc_id, x.n_links) for x in jaccard.jaccard_components(df, links=True).collect()), key=str) == want
 
 
+def test_shared_rows_over_batches():
+    """Columns of any length, over any batches, with repeated rows."""
+    r = random.Random(1)
+    for _ in range(300):
+        rows = sorted((r.randint(0, 6), r.randint(0, 4), 9) for _ in range(r.randint(1, 30)))
+        cuts = sorted(r.randint(0, len(rows)) for _ in range(r.randint(0, 6)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in p], pa.int64()) for i in range(3)], ["t", "node", "n"]) for p in parts]
+        got = [tuple(x.values()) for b in jaccard._shared_rows(iter(batches)) for x in b.to_pylist()]
+        held = collections.Counter(t for t, _, _ in set(rows))
+        assert sorted(got) == sorted(x for x in set(rows) if held[x[0]] > 1 or x[0] in (rows[0][0], rows[-1][0]))
+
+
+def test_word_hashes_in_parts(monkeypatch):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abc  \n\tZ") for _ in range(r.randint(0, 400))) for _ in range(60)] + ["", "x" * 300, "  ", "y"]
+    raw, o = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    h, wo = jaccard.Shingler()._part_hashes(raw, o)
+    for part in (7, 50, 333):
+        monkeypatch.setattr(jaccard, "PART", part)
+        got, at = jaccard.Shingler()._word_hashes(raw, o)
+        assert (got == h).all() and (at == wo).all()
+
+
+def test_sets_by_semi_join(spark, odd_docs, monkeypatch):
+    """More nodes than the bitmap serves: the table of nodes chooses the sets."""
+    monkeypatch.setattr(jaccard, "NODE_BITS", 1)
+    monkeypatch.setattr(jaccard, "MOST_NODE_BITS", 3)
+    assert components_got(odd_docs) == brute_components([(r.doc_id, r.text) for r in odd_docs.collect()])
+
+
+def test_unfinished_components_are_an_error(spark, tmp_path):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "x bigint, y bigint")
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, f"file://{tmp_path}", rounds=2)
+
+
 def test_components(spark, tmp_path):
     r = random.Random(1)
     links = [(r.randint(-50, 50), r.randint(-50, 50)) for _ in range(60)] + [(i, i + 1) for i in range(1000, 1040)]
@@ -469,6 +585,13 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert langid.predict(no_docs, models, ["doc_id"]).count() == 0
 
 
+def test_language_columns_of_the_same_names(spark, docs):
+    models = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
+    df = docs.limit(5).select("doc_id", "text", F.lit("x").alias("__lang"), F.lit(3).alias("found"), F.lit(1).alias("odd.name"))
+    got = langid.predict(df, models, df.columns)
+    assert sorted(got.columns) == sorted([*df.columns, "__score", "__rejected"]) and got.filter("`__lang` = 'x'").count() == 0
+
+
 def test_language_rejects_junk(docs):
     models = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
     junk = " ".join("".join(random.Random(i).choice("qxzjkvw") for _ in range(9)) for i in range(40))
@@ -573,3 +696,15 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf):
             df = f(spark, df, sf)
             assert df.columns == given.columns, name
         c.STAGES[-1][1](spark, df, sf).count()
+
+
+def test_pipeline_rows_that_share_an_id(spark, sf):
+    import corpus_pipeline as c
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "s"), (3, f"{a} more", "s"), (3, b, "s"), (None, b, "t"), (None, b, "t"), (5, b, "s"), (5, b, "u"), (6, None, "s"), (7, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({"k1": F.lit("x"), "row": F.lit(1), "__nth": F.lit(None).cast("int"), "a.b": F.lit(2)})
+    got = dict(c.STAGES)["near_duplicates"](spark, df, sf)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(1, a), (3, b)]
+    assert {r.doc_id for r in got.collect() if not r.text} == {6, 7}
