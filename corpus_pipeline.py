@@ -4,19 +4,26 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of documents. Decisions:
  language_id      rows that the calibrated rejection turns away go, the others stay as they are;
  line_dedup       lines that it drops leave the text, n_chars follows; no document goes;
- near_duplicates  of each component of linked documents the one with the least doc_id stays
-                  (of rows that share that doc_id too: one); documents with an empty set stay;
+ near_duplicates  of each component of linked documents the one with the least doc_id stays (null last; of rows
+                  that share it the one with the least hash of all columns); documents with an empty set stay;
+                  rows that are equal in every column count as one;
  secret_scan      every span is replaced by a mark, n_chars follows; no document goes;
  packing          the pieces of the packed sequences.
+
+Defined results. A text that is null, empty or without a letter goes with the first stage. Null doc_id, lang or source
+and extra columns stay as they are, whatever their names; rows that share a doc_id are documents of their own.
+An empty table passes through every stage. Very long texts are handled whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard, langid, line_dedup, packing, secret_scan
-from tidelog.llm._shared import row_key, workspace, written
+from tidelog.llm._shared import made, release, remove, row_key, shared_dir, written
 from tidelog.llm.tokens import tokenizer_path
 
 
@@ -37,7 +44,7 @@ def _full(slim: DataFrame, docs: DataFrame, text, *keys: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
-    return langid.predict(docs, models, docs.columns).filter(~F.col("__rejected")).select(*docs.columns)
+    return docs.filter(~langid.scorer(spark, models)(F.col("text"))["rejected"])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +53,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    # decisions are per row, so they are joined by the row's contents; equal rows are one document
-    leads = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id", "__k1", "__k2").orderBy(F.lit(0))
-    kept = docs.join(leads.filter(F.col("doc_id").isNotNull()), "doc_id", "left_semi")
-    keyed = kept.select("*", *[k.alias(f"__{n}") for k, n in zip(row_key("text"), ("k1", "k2"), strict=True)])
-    one = keyed.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*docs.columns)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    key = row_key(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    found = jaccard.jaccard_components(docs, key=(key[0], key[1]))
+    leads = found.filter("leads").select("k1", "k2").distinct()
+    # equal rows have equal keys: they meet before the shuffle, one stays
+    row = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = row.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(leads, ["k1", "k2"], "left_semi")
+    return one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +84,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), workspace(spark, f"pipeline-{name}"))
+        mark = made()
+        done = stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        docs = written(done, path)
+        release(spark, mark)  # the stage's own tables, and what it has read
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
