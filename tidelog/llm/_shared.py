@@ -19,6 +19,20 @@ HOT_SHARE, HOT_ROWS = 1 / 1000, 1 << 20
 BROADCAST_ROWS = 200_000
 
 _MADE: list[str] = []
+_CACHES: list[dict] = []
+
+
+def worker_cache() -> dict:
+    """A dictionary in which an operator keeps what it remembers between the tasks of a Python worker."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def forget_others(mine: dict | None = None) -> None:
+    """A worker that turns to another operator drops what the last one remembered."""
+    for cache in _CACHES:
+        if cache is not mine:
+            cache.clear()
 
 
 def shared_dir(spark: SparkSession) -> str:

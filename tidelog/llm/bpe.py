@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ._shared import forget_others, worker_cache
 from .tokens import ChunkEncoder, byte_letters, tokenizer_path
 
 #: Fixed value: the pre-tokenizer of byte-level BPE files.
@@ -167,11 +168,12 @@ class Bpe:
         return [data[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_MODELS: dict[str, tuple[Bpe, ChunkEncoder]] = {}
+_MODELS: dict[str, tuple[Bpe, ChunkEncoder]] = worker_cache()
 
 
 def model(path: str) -> tuple[Bpe, ChunkEncoder]:
     """One for each worker process and file."""
+    forget_others(_MODELS)
     if path not in _MODELS:
         bpe = Bpe(path)
         _MODELS[path] = bpe, ChunkEncoder(bpe.chunks)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import remove, small_batches, workspace, written
+from ._shared import forget_others, remove, small_batches, workspace, written
 from .components import components
 from .tokens import slices, text_buffers
 
@@ -160,6 +160,7 @@ def _sketch(shingler: Shingler):
     """Counts of shingles in 2**CELL_BITS cells, in 2**RANGE_BITS compressed parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         cells = np.zeros(1 << CELL_BITS, "<u4")
         for batch in batches:
             for _, sets in shingler.sets(batch.column(0)):
@@ -196,6 +197,7 @@ def _coder(shingler: Shingler, bits):
     """doc_id, k1, k2, node (hash of the set), n, toks: the set in the global order."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         often = np.unpackbits(bits.value)
         for batch in batches:
             for lo, sets in shingler.sets(batch.column(3)):

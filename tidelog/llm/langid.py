@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import remove, workspace, written
+from ._shared import forget_others, remove, workspace, written
 from .tokens import slices
 
 ORDER = 4
@@ -93,6 +93,7 @@ def _gram_keys(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nda
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, a (first two characters), b (last two), n: of each task's texts."""
+    forget_others()
     held: dict[str, dict[str, int]] = {}
 
     def out(lang: str) -> pa.RecordBatch:
@@ -354,6 +355,7 @@ def scorer(spark: SparkSession, models: Models) -> Callable[[Column], Column]:
     given = spark.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget_others()
         for texts in batches:
             parts = []
             for _, _, names, scores, rejected in given.value.predict(texts):

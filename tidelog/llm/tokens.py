@@ -17,9 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Bytes of text handled at once, and chunks remembered by a Python worker.
+from ._shared import forget_others, worker_cache
+
+#: Bytes of text handled at once; chunks that a Python worker remembers in a generation, and words and chunks of library_encoder.
 SLICE_BYTES = 8 << 20
-MEMO_MAX = 300_000
+MEMO_MAX, WORDS_MAX = 300_000, 400_000
 
 #: Fixed value: the pre-tokenizer of word_bpe files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -109,6 +111,8 @@ class ChunkEncoder:
         return ids, np.append(0, ends).astype(np.int64)[np.searchsorted(starts, o)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
+        if not self._most:  # the encoder remembers by itself
+            return self._encode(words)
         young, old = self._young, self._old
         parts = list(map(young.get, words))
         gone = [i for i, x in enumerate(parts) if x is None]
@@ -128,13 +132,14 @@ class ChunkEncoder:
         return parts
 
 
-_LIBRARY: dict[str, ChunkEncoder] = {}
+_LIBRARY: dict[str, ChunkEncoder] = worker_cache()
 
 
 def library_encoder(path: str) -> ChunkEncoder:
     """A ChunkEncoder of the tokenizers library with add_special_tokens=False; one for each worker process and file.
 
     For tokenizers that lower letters and drop white space (word_bpe_49k.json)."""
+    forget_others(_LIBRARY)
     if path not in _LIBRARY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -151,11 +156,15 @@ def library_encoder(path: str) -> ChunkEncoder:
             return array("I", [t.id for t in tokenize(said)]).tobytes()
 
         def encode(words: list[str]) -> list[bytes]:
-            out: list[bytes | None] = []
+            # spaces around a chunk make no difference, so it is remembered without them, as are its pre-tokens
+            words = [w.strip(" ") for w in words]
+            out = list(map(memo.get, words))
             odd = []
-            for i, chunk in enumerate(words):
-                w = chunk.strip(" ").lower()
-                if w and max(w) <= "\xff" and w.isprintable() and "<|" not in w:
+            for i, ids in enumerate(out):
+                if ids is not None:
+                    continue
+                w = words[i].lower()
+                if not w or max(w) <= "\xff" and w.isprintable() and "<|" not in w:
                     # no normalisation but lowering applies, so only the library's model is needed, for each pre-token
                     parts = []
                     for x in find(w):
@@ -163,19 +172,18 @@ def library_encoder(path: str) -> ChunkEncoder:
                         if ids is None:
                             ids = memo[x] = pre_token(x)
                         parts.append(ids)
-                    out.append(b"".join(parts))
+                    out[i] = memo[words[i]] = b"".join(parts) if len(parts) != 1 else parts[0]
                 else:
-                    out.append(None)
                     odd.append(i)
             for at in range(0, len(odd), 1024):
                 rows = odd[at : at + 1024]
                 for i, x in zip(rows, tokenizer.encode_batch_fast([words[i] for i in rows], add_special_tokens=False), strict=True):
-                    out[i] = array("I", x.ids).tobytes()
-            if len(memo) > 2 * MEMO_MAX:
+                    out[i] = memo[words[i]] = array("I", x.ids).tobytes()
+            if len(memo) > WORDS_MAX:
                 memo.clear()
             return out
 
-        _LIBRARY[path] = ChunkEncoder(encode, fold=True)
+        _LIBRARY[path] = ChunkEncoder(encode, fold=True, memo_max=0)
     return _LIBRARY[path]
 
 
