@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import checksum, string_hash
+from ..functions.hashing import checksum, draw, string_hash
 
 LONG_MAX = (1 << 63) - 1
 WILDCARD = None
@@ -217,8 +217,9 @@ def dispatch(events: DataFrame, registrations: dict[str, Iterable[int]]) -> Data
     return events.withColumn("registration", F.explode(F.array_compact(F.array(*names))))
 
 
-def sampled(percent: float, seed: int = 0) -> Column:
-    return F.lit(False) if percent <= 0 else F.lit(True) if percent >= 100 else F.rand(seed) * 100 < percent
+def sampled(percent: float, key: Column, seed: int = 0) -> Column:
+    """Whether an event is in the sample, by a hash of its key, so that it is in every read or in none."""
+    return F.lit(False) if percent <= 0 else F.lit(True) if percent >= 100 else draw(key, F.lit(seed)) < int(percent / 100 * (1 << 32))
 
 
 def valid_event(payload: Column, stored_crc: Column, size: Column, least: int = 61) -> Column:

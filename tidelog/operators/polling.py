@@ -77,3 +77,8 @@ def last_transaction(rows: DataFrame, txlog: DataFrame) -> DataFrame:
 def resume_scn(saved: int, overlap: int, default: int) -> int:
     """Where a restart reads on: behind the saved number by the overlap, if that is positive."""
     return saved - overlap if saved - overlap > 0 else default
+
+
+def keyset_rest(table: DataFrame, key: str, start) -> DataFrame:
+    """All rows from a key on (that key included), ordered: what is left of a seeding that resumes there."""
+    return table.filter(F.col(key) >= start).orderBy(key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import draw
+
 RESERVOIR, ALPHA = 1028, 0.015
 
 
@@ -78,10 +80,11 @@ def newest(values: DataFrame, order: str, capacity: int) -> DataFrame:
     return values.orderBy(F.desc(order)).limit(capacity)
 
 
-def reservoir(values: DataFrame, time: Column, *, size: int = RESERVOIR, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
+def reservoir(values: DataFrame, time: Column, key: Column, *, size: int = RESERVOIR, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """A forward-decaying sample: the size greatest priorities exp(alpha * t) / u. In logarithms, so that it does
-    not overflow; samples merge by taking the greatest of both."""
-    return values.withColumn("priority", time * alpha - F.log(F.lit(1.0) - F.rand(seed))).orderBy(F.desc("priority")).limit(size)
+    not overflow; samples merge by taking the greatest of both. u is drawn by the hash of a key of the row."""
+    u = (draw(key, F.lit(seed)) + 1) / F.lit(float(1 << 32))
+    return values.withColumn("priority", time * alpha - F.log(u)).orderBy(F.desc("priority")).limit(size)
 
 
 def merge_reservoirs(*parts: DataFrame, size: int = RESERVOIR) -> DataFrame:

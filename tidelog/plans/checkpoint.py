@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import ClientMode, ControlType, ScnNotFound
 
@@ -111,6 +114,47 @@ def restart(c: Checkpoint) -> Checkpoint:
     return online(c.prev_scn) if c.prev_scn > 0 else flexible()
 
 
+def replace_file(spark: SparkSession, path, text: str) -> None:
+    """Writes aside and renames, so that a reader finds the old text or the new one, whole."""
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = spark._jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, path):  # some file systems do not rename onto a file
+        fs.delete(path, False)
+        fs.rename(aside, path)
+
+
+class MaxScnStore:
+    """The greatest sequence number of each server (or partition), as a file each. Smaller ones are not taken unless forced."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+
+    def _path(self, server: str):
+        return self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{server}.maxscn")
+
+    def load(self, server: str, default: int = -1) -> int:
+        p = self._path(server)
+        if not p.getFileSystem(self._spark._jsc.hadoopConfiguration()).exists(p):
+            return default
+        return int(self._spark.read.text(p.toString(), wholetext=True).first()[0].split(":")[0])
+
+    def save(self, server: str, scn: int, *, force: bool = False) -> int:
+        """What is kept then."""
+        held = self.load(server)
+        if scn > held or force:
+            replace_file(self._spark, self._path(server), f"{scn}:{time.time_ns() // 1_000_000}")
+            return scn
+        return held
+
+    def all(self) -> DataFrame:
+        """server, scn."""
+        rows = self._spark.read.text(f"{self._folder}/*.maxscn", wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+        return rows.select(F.regexp_extract("file", r"^(.*)\.maxscn$", 1).alias("server"), F.substring_index("value", ":", 1).cast("bigint").alias("scn"))
+
+
 class CheckpointStore:
     """Checkpoints by name as one JSON file each, in a folder that Spark's file systems reach."""
 
@@ -120,10 +164,7 @@ class CheckpointStore:
         self._spark = spark
 
     def save(self, name: str, c: Checkpoint) -> None:
-        p = self._path(name)
-        out = self._fs(p).create(p, True)
-        out.write(bytearray(c.to_json().encode()))
-        out.close()
+        replace_file(self._spark, self._path(name), c.to_json())
 
     def load(self, name: str) -> Checkpoint | None:
         p = self._path(name)

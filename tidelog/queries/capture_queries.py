@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..operators import capture as C
 from ..operators import polling as P
+from ..operators import state as D
 from .registry import query
 
 W = f"WITH {X.LOG}"
@@ -118,11 +119,13 @@ def _skip_start(spark, sf):
     return C.skip_start(X.events_log(spark, sf), 1).select("id")
 
 
-@query("s22_generator", "SELECT 500::BIGINT AS n, 50::BIGINT AS windows, 1::BIGINT AS min_id, 500::BIGINT AS max_id")
+@query("s22_generator", "SELECT id // 10 + 1 AS scn, count(*) AS n, max(id + 1) AS max_id, sum(1 + ('0x' || substr(md5(id || ':2'), 1, 8))::BIGINT % 99)::BIGINT AS key_sum FROM (SELECT event_id AS id FROM events) GROUP BY 1")
 def _generator(spark, sf):
     from ..sources.generators import random_events
 
-    return random_events(spark, 500, seed=1).agg(F.count("*").alias("n"), F.countDistinct("scn").alias("windows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    rows = random_events(spark, n, keys=(1, 100), seed=1)
+    return rows.groupBy("scn").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.sum("key_long").alias("key_sum"))
 
 
 @query("s28_keyset_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 500")
@@ -162,26 +165,24 @@ def _join(spark, sf):
 @query("j03_applier_position", f"""{W}, s AS (SELECT pp_id AS srcid, max(scn) AS p FROM log GROUP BY 1), a AS (SELECT pp_id AS srcid, max(scn) AS a, max((id - 1) // 1000) AS logid FROM log WHERE id % 3 = 0 GROUP BY 1),
   l AS (SELECT pp_id AS srcid, (id - 1) // 1000 AS logid, max(id) AS maxrid FROM log GROUP BY 1, 2) SELECT s.srcid, p AS producer_scn, a AS applier_scn, a.logid, maxrid FROM s JOIN a USING (srcid) JOIN l ON l.srcid = a.srcid AND l.logid = a.logid""")
 def _position(spark, sf):
-    log = X.events_log(spark, sf).withColumn("logid", F.expr("(id - 1) div 1000")).withColumnRenamed("pp_id", "srcid")
-    producer = log.groupBy("srcid").agg(F.max("scn").alias("producer_scn"))
-    applier = log.filter("id % 3 = 0").groupBy("srcid").agg(F.max("scn").alias("applier_scn"), F.max("logid").alias("logid"))
-    info = log.groupBy("srcid", "logid").agg(F.max("id").alias("maxrid"))
-    return producer.join(applier, "srcid").join(info, ["srcid", "logid"]).select("srcid", "producer_scn", "applier_scn", "logid", "maxrid")
+    log = X.events_log(spark, sf)
+    done = lambda rows: D.log_tables(rows, 1000).groupBy("srcid").agg(F.max("maxwindowscn").alias("windowscn"), F.max("logid").alias("logid"))
+    return D.applier_position(done(log), done(log.filter("id % 3 = 0")), D.log_tables(log, 1000))
 
 
-@query("j04_producer_start", f"{W} SELECT pp_id AS srcid, max(scn) AS windowscn, max(scn) - 10 AS endscn FROM log GROUP BY 1")
+@query("j04_producer_start", f"{W} SELECT pp_id AS srcid, max(scn) AS windowscn, CASE WHEN pp_id <> 1 THEN max(scn) - 10 END AS endscn FROM log GROUP BY 1, pp_id")
 def _producer(spark, sf):
-    log = X.events_log(spark, sf).withColumnRenamed("pp_id", "srcid")
-    p = log.select("srcid", F.col("scn").alias("windowscn"))
-    s = log.groupBy("srcid").agg((F.max("scn") - 10).alias("endscn"))
-    return p.groupBy("srcid").agg(F.max("windowscn").alias("windowscn")).join(s, "srcid")
+    p = X.events_log(spark, sf).select(F.col("pp_id").alias("srcid"), F.col("scn").alias("windowscn"))
+    seeded = p.filter("srcid <> 1").groupBy("srcid").agg((F.max("windowscn") - 10).alias("endscn"))
+    return D.producer_start(p, seeded)
 
 
-@query("j05_tracked_sources", f"{W} SELECT pp_id AS srcid, count(DISTINCT (id - 1) // 1000) AS n_logs FROM log WHERE pp_id IN (0, 2) GROUP BY 1")
+@query("j05_tracked_sources", f"""{W}, src AS (SELECT n_nationkey AS srcid, n_name AS src, CASE n_regionkey % 3 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'NEW' ELSE 'SEEDING' END AS status FROM nation)
+  SELECT src.srcid, src.src, count(DISTINCT (id - 1) // 1000) AS n_logs FROM src LEFT JOIN log ON log.pp_id = src.srcid WHERE status IN ('ACTIVE', 'SEEDING') GROUP BY 1, 2""")
 def _tracked(spark, sf):
-    log = X.events_log(spark, sf).withColumnRenamed("pp_id", "srcid")
-    info = log.select("srcid", F.expr("(id - 1) div 1000").alias("logid")).distinct()
-    return info.filter(F.col("srcid").isin(0, 2)).groupBy("srcid").agg(F.count("*").alias("n_logs"))
+    status = F.element_at(F.array(F.lit("ACTIVE"), F.lit("NEW"), F.lit("SEEDING")), F.col("n_regionkey") % 3 + 1)
+    sources = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("srcid"), F.col("n_name").alias("src"), status.alias("status"))
+    return D.tracked_sources(sources, D.log_tables(X.events_log(spark, sf), 1000), ("ACTIVE", "SEEDING"))
 
 
 @query("j11_update_target", f"{W} SELECT id FROM log WHERE pp_id IN (SELECT pp_id FROM log WHERE event_type = 'purchase' AND id < 20)")

@@ -110,7 +110,27 @@ def _fnv(spark, sf):
     return c.select("c_custkey", H.fnv1a_bucket(F.encode("c_name", "UTF-8"), 97).alias("bucket"))
 
 
-@query("p17_jenkins")
+#: SQL of Jenkins' hash: rounds over units of 12 bytes, the last one with the length beside its third word.
+_UNIT = "unicode(substr(c_name || repeat(chr(0), 12), (12 * i + 4 * {w} + {k} + 1)::INT, 1))::BIGINT"
+_WORDS = ", ".join(
+    "(" + " + ".join(f"CASE WHEN 12 * i + {4 * w + k} < length(c_name) THEN {_UNIT.format(w=w, k=k)} << {8 * k} ELSE 0 END" for k in range(4)) + f") AS w{w}" for w in range(3)
+)
+
+
+def _mix_sql() -> str:
+    """The steps as nested selects, each with one of a, b, c renewed."""
+    sql = "SELECT c_custkey, c_name, i, (a + w0) & 4294967295 AS a, (b + w1) & 4294967295 AS b, (c + CASE WHEN 12 * (i + 1) > length(c_name) THEN (w2 << 8) + length(c_name) ELSE w2 END) & 4294967295 AS c FROM w"
+    for x, by in H.JENKINS_STEPS:
+        n, other = "abc"[x], "abc"[(x + 2) % 3]
+        shifted = f"(({other} << {by}) & 4294967295)" if by > 0 else f"({other} >> {-by})"
+        new = f"xor(({n} - {'abc'[(x + 1) % 3]} - {other}) & 4294967295, {shifted})"
+        sql = f"SELECT c_custkey, c_name, i, {', '.join(f'{new} AS {m}' if m == n else m for m in 'abc')} FROM ({sql})"
+    return sql
+
+
+@query("p17_jenkins", f"""WITH RECURSIVE h AS (SELECT c_custkey, c_name, 0::BIGINT AS i, {H.JENKINS_START}::BIGINT AS a, {H.JENKINS_START}::BIGINT AS b, 0::BIGINT AS c FROM customer
+  UNION ALL (WITH w AS (SELECT *, {_WORDS} FROM h WHERE 12 * i <= length(c_name)) SELECT c_custkey, c_name, i + 1, a, b, c FROM ({_mix_sql()})))
+  SELECT c_custkey, c AS hash FROM h WHERE 12 * i > length(c_name)""")
 def _jenkins(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     return c.select("c_custkey", H.jenkins(F.encode("c_name", "UTF-8")).alias("hash"))

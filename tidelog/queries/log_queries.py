@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..operators import relay as R
 from ..operators import snapshot as S
 from ..operators import stats as A
+from ..operators import state as D
 from .registry import query
 
 W = f"WITH {X.LOG}"
@@ -98,9 +99,10 @@ def _page(spark, sf):
     return S.page(X.events_log(spark, sf), after=4321).select("id", "srckey")
 
 
-@query("t02_first_window", f"{W} SELECT arg_min(id, id) AS id, min(scn) AS scn FROM log")
-def _argmin(spark, sf):
-    return X.events_log(spark, sf).agg(F.min_by("id", "id").alias("id"), F.min("scn").alias("scn"))
+@query("t02_first_window", f"""{W} SELECT srcid, logid, maxwindowscn FROM (SELECT pp_id AS srcid, (id - 1) // 1000 AS logid, max(scn) AS maxwindowscn FROM log GROUP BY 1, 2)
+  WHERE maxwindowscn > 40 ORDER BY maxwindowscn, srcid, logid LIMIT 1""")
+def _first(spark, sf):
+    return D.first_windows(D.log_tables(X.events_log(spark, sf), 1000), 40).select("srcid", "logid", "maxwindowscn")
 
 
 @query("t04_byte_budget", f"{W} SELECT id, running_bytes FROM (SELECT id, sum(size_bytes) OVER (ORDER BY scn, seq)::BIGINT AS running_bytes FROM log WHERE scn > 200) WHERE running_bytes <= 50000")
@@ -119,9 +121,9 @@ def _tail(spark, sf):
     return X.events_log(spark, sf).orderBy("id").limit(25).select("id", "event_type")
 
 
-@query("t06_latest_row", f"{W} SELECT srckey, max(ts_ns) AS ts_ns, arg_max(scn, ts_ns) AS scn FROM log GROUP BY 1")
+@query("t06_latest_row", f"{W} SELECT srckey, ts_ns, id, scn FROM (SELECT *, row_number() OVER (PARTITION BY srckey ORDER BY ts_ns DESC, id DESC) AS r FROM log) WHERE r = 1")
 def _latest_row(spark, sf):
-    return X.events_log(spark, sf).groupBy("srckey").agg(F.max("ts_ns").alias("ts_ns"), F.max_by("scn", "ts_ns").alias("scn"))
+    return D.latest_rows(X.events_log(spark, sf))
 
 
 @query("a01_totals", f"{W} SELECT {TOTALS} FROM log")
@@ -169,11 +171,12 @@ def _histogram(spark, sf):
     return A.histogram(log, "v", low=10, high=90, buckets=8)
 
 
-@query("a08_reservoir")
+@query("a08_reservoir", f"""{W} SELECT id FROM log ORDER BY ((ts_ns - 1704067200000000000) / 1000000000) * 0.015
+  - ln((('0x' || substr(md5(id || ':' || id % 2), 1, 8))::BIGINT + 1) / 4294967296) DESC LIMIT 1028""")
 def _reservoir(spark, sf):
     log = X.events_log(spark, sf)
     t = (F.col("ts_ns") - F.lit(1_704_067_200_000_000_000)) / 1_000_000_000
-    parts = [A.reservoir(log.filter(F.col("id") % 2 == i).select("id", "ts_ns"), t, seed=i) for i in range(2)]
+    parts = [A.reservoir(log.filter(F.col("id") % 2 == i).select("id", "ts_ns"), t, F.col("id"), seed=i) for i in range(2)]
     return A.merge_reservoirs(*parts).select("id")
 
 

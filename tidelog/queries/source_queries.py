@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..operators import polling as P
 from ..operators import relay as R
 from ..operators import snapshot as S
+from ..operators import state as D
 from ..sources import jsonlines as J
 from ..sources import trails as T
 from .registry import query
@@ -57,12 +58,19 @@ def _validate(spark, sf):
     return checked.join(chars, "pos")
 
 
-@query("s23_random_events", "SELECT 101::BIGINT AS windows, 1000::BIGINT AS n FROM (SELECT 1)")
+#: SQL of the draws that generated events are made of.
+DRAW = "('0x' || substr(md5(id || ':{}'), 1, 8))::BIGINT"
+
+
+@query("s23_random_events", f"""WITH g AS (SELECT event_id + 1 AS n, event_id AS id FROM events)
+  SELECT n AS id, id // 10 + 1 AS scn, id % 10 + 1 AS seq, (id % 2 + 7)::INT AS src_id, 1000 + {DRAW.format(6)} % 9000 AS key_long, {DRAW.format(8)} % 10000 < 100 AS is_trace,
+  10 + {DRAW.format(7)} % 90 + 61 AS size_bytes, substr(repeat(sha256(id || ':5'), 2), 1, (10 + {DRAW.format(7)} % 90)::INT) AS payload FROM g""")
 def _random(spark, sf):
     from ..sources.generators import random_events
 
-    rows = random_events(spark, 1000, per_window=10, seed=5).unionByName(random_events(spark, 0, seed=5))
-    return rows.agg((F.countDistinct("scn") + 1).alias("windows"), F.count("*").alias("n"))
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    rows = random_events(spark, n, keys=(1000, 10_000), lengths=(10, 100), per_window=10, sources=(7, 8), seed=5)
+    return rows.select("id", "scn", "seq", "src_id", "key_long", "is_trace", F.col("size_bytes").cast("bigint").alias("size_bytes"), "payload")
 
 
 @query("s26_complete_windows", f"{W}, e AS (SELECT pp_id, max(scn) - 5 AS last FROM log GROUP BY 1) SELECT id FROM log JOIN e USING (pp_id) WHERE scn <= last")
@@ -74,7 +82,7 @@ def _complete(spark, sf):
 
 @query("s27_seed_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 4000")
 def _resume(spark, sf):
-    return P.keyset_page(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey", 4000, 1 << 30, inclusive=True).select("o_orderkey")
+    return P.keyset_rest(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey", 4000).select("o_orderkey")
 
 
 @query("s30_snapshot_scan", f"{W}, s AS (SELECT srckey, min(id) AS id, arg_max(scn, log.id) AS scn FROM log WHERE scn < 900 GROUP BY 1) SELECT * FROM s WHERE scn >= 10")
@@ -94,8 +102,7 @@ def _chunk(spark, sf):
 
 @query("j10_max_subquery", f"WITH {X.ORDERS} SELECT o_orderkey FROM o WHERE txn = (SELECT max(txn) FROM o)")
 def _subquery(spark, sf):
-    o = X.orders_table(spark, sf)
-    return o.join(F.broadcast(o.agg(F.max("txn").alias("txn"))), "txn", "left_semi").select("o_orderkey")
+    return D.of_last_transaction(X.orders_table(spark, sf)).select("o_orderkey")
 
 
 @query("n02_row_number_pages", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey))::INT AS r FROM orders WHERE o_orderkey >= 100 ORDER BY o_orderkey LIMIT 300")
@@ -106,15 +113,22 @@ def _pages(spark, sf):
     return page.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("r"))
 
 
-@query("t03_log_order", f"{W} SELECT min((id - 1) // 1000) AS first_log, max((id - 1) // 1000) AS last_log FROM log")
+#: SQL of the log tables.
+LOGS = "(SELECT pp_id AS srcid, (id - 1) // 1000 AS logid, min(scn) AS minwindowscn, max(scn) AS maxwindowscn, max(id) AS maxrid, count(*) AS n FROM log GROUP BY 1, 2)"
+
+
+@query("t03_log_order", f"{W} SELECT * FROM {LOGS} ORDER BY logid DESC, srcid LIMIT 4")
 def _logs(spark, sf):
-    return X.events_log(spark, sf).select(F.expr("(id - 1) div 1000").alias("log_id")).agg(F.min("log_id").alias("first_log"), F.max("log_id").alias("last_log"))
+    return D.logs_in_order(D.log_tables(X.events_log(spark, sf), 1000), 4, newest_first=True)
 
 
-@query("t07_file_order", "SELECT count(*) AS n, 1::BIGINT AS files FROM events")
+@query("t07_file_order", """SELECT row_number() OVER (ORDER BY number NULLS FIRST, file)::INT AS nth, number, file FROM (SELECT DISTINCT 'x' || (user_id // 3) AS file, (user_id // 3)::BIGINT AS number FROM events)""")
 def _files(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("_metadata.file_name").alias("f"))
-    return e.groupBy("f").agg(F.count("*").alias("n")).orderBy("f").agg(F.sum("n").alias("n"), F.count("*").alias("files"))
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    files = T.in_order(e.select(F.concat(F.lit("x"), F.expr("user_id div 3").cast("string")).alias("file")).distinct())
+    return files.select("*", F.row_number().over(Window.orderBy(F.asc_nulls_first("number"), "file")).alias("nth"))
 
 
 @query("a19_entry_sets", f"{W} SELECT scn, count(DISTINCT srckey) AS n_keys FROM log GROUP BY 1")
@@ -135,14 +149,31 @@ def _ingest(spark, sf):
     return log.filter(L.valid_event(F.encode("props", "UTF-8"), stored, F.col("size_bytes")) == "OK").select("id")
 
 
+def _stored(spark, heads, name: str, scn: str):
+    """A store of this run in the shared folder, told of every row of heads (a row for each server) and of a smaller number."""
+    import tempfile
+    import uuid
+
+    from ..plans.checkpoint import MaxScnStore
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    store = MaxScnStore(spark, f"{at.rstrip('/')}/maxscn-{uuid.uuid4().hex}")
+    for r in heads.collect():
+        store.save(str(r[name]), r[scn])
+        store.save(str(r[name]), r[scn] - 1)  # kept as it was
+    return store
+
+
 @query("k13_max_scn_store", f"{W} SELECT pp_id, max(scn) AS max_scn FROM log GROUP BY 1")
 def _max(spark, sf):
-    return R.head(X.events_log(spark, sf)).select("pp_id", "max_scn")
+    kept = _stored(spark, R.head(X.events_log(spark, sf)), "pp_id", "max_scn").all()
+    return kept.select(F.col("server").cast("int").alias("pp_id"), F.col("scn").alias("max_scn"))
 
 
 @query("x09_scn_by_server", f"{W} SELECT lp_id AS server, max(scn) AS scn FROM log GROUP BY 1")
 def _servers(spark, sf):
-    return X.events_log(spark, sf).groupBy(F.col("lp_id").alias("server")).agg(F.max("scn").alias("scn"))
+    heads = X.events_log(spark, sf).groupBy(F.col("lp_id").alias("server")).agg(F.max("scn").alias("scn"))
+    return _stored(spark, heads, "server", "scn").all().select(F.col("server").cast("int").alias("server"), "scn")
 
 
 @query("b12_completeness", f"{W} SELECT pp_id, NOT (300 <= min(scn) - 1 AND NOT (300 = 0 AND min(scn) - 1 = 0)) AS complete FROM log GROUP BY 1")
@@ -161,6 +192,6 @@ def _complete_check(spark, sf):
     return out
 
 
-@query("x03_reset", f"{W} SELECT id FROM log WHERE pp_id <> 1")
+@query("x03_reset", f"{W} SELECT pp_id, min(scn) AS min_scn, min(scn) - 1 AS prev_scn, max(scn) AS max_scn FROM log WHERE pp_id <> 1 OR scn > 60 GROUP BY 1")
 def _reset(spark, sf):
-    return X.events_log(spark, sf).filter(F.col("pp_id") != 1).select("id")
+    return R.head(D.reset(X.events_log(spark, sf), 1, 60))

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import draw
+
 
 def _letters(length: Column, seed: int) -> Column:
-    hex_ = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 512)
-    return F.substring(F.repeat(hex_, 8), F.lit(1), length)
+    hex_ = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256)
+    return F.substring(F.repeat(hex_, F.ceil(length / 64).cast("int")), F.lit(1), length)
 
 
 def random_events(spark: SparkSession, n: int, *, keys: tuple[int, int] = (0, 1 << 31), lengths: tuple[int, int] = (10, 100), per_window: int = 10, sources: tuple[int, ...] = (1,), trace_percent: float = 1.0, seed: int = 0) -> DataFrame:
-    """n events with random keys and payload lengths, per_window of them in each window."""
-    span = lambda lo, hi, s: (F.lit(lo) + F.floor(F.rand(seed + s) * (hi - lo))).cast("bigint")
+    """n events with random keys and payload lengths, per_window of them in each window. Draws are hashes of id and seed."""
+    span = lambda lo, hi, s: F.lit(lo).cast("bigint") + draw(F.col("id"), F.lit(seed + s)) % (hi - lo)
     rows = spark.range(n)
     return rows.select(
         (F.col("id") + 1).alias("id"), (F.floor(F.col("id") / per_window) + 1).alias("scn"), (F.col("id") % per_window + 1).alias("seq"),
         F.element_at(F.array(*map(F.lit, sources)), (F.col("id") % len(sources) + 1).cast("int")).alias("src_id"), span(*keys, 1).alias("key_long"),
-        F.lit("UPSERT").alias("opcode"), _letters(span(*lengths, 2).cast("int"), seed).alias("payload"), (F.rand(seed + 3) * 100 < trace_percent).alias("is_trace"),
+        F.lit("UPSERT").alias("opcode"), _letters(span(*lengths, 2).cast("int"), seed).alias("payload"), (draw(F.col("id"), F.lit(seed + 3)) % 10_000 < int(trace_percent * 100)).alias("is_trace"),
     ).withColumn("size_bytes", F.length("payload") + 61)
 
 

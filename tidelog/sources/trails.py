@@ -76,6 +76,13 @@ def find_position(files: DataFrame, scn: int) -> tuple[str, str | None]:
     return ("FOUND" if at["min_scn"] <= scn <= at["max_scn"] else "EXACT_SCN_NOT_FOUND"), at["file"]
 
 
+def in_order(files: DataFrame, *, newest_first: bool = False) -> DataFrame:
+    """files (file) in the order in which they were written: the number at the end of a name counts as a number. Columns number, file."""
+    number = F.regexp_extract("file", r"(\d+)$", 1)
+    rows = files.select(F.when(number != "", number.cast("bigint")).alias("number"), "file")
+    return rows.orderBy(F.desc_nulls_last("number"), F.desc("file")) if newest_first else rows.orderBy(F.asc_nulls_first("number"), "file")
+
+
 def validate(rows: DataFrame) -> DataFrame:
     """Rule columns for each transaction: malformed, no_xid, no_csn, bad_chars."""
     p = parsed(rows)

@@ -41,7 +41,9 @@ def mark_late(stream: DataFrame) -> DataFrame:
 
 class SnapshotTable:
     """A snapshot as versions in a folder: each micro-batch merges into a new one, so a failed batch leaves the last as it was.
-    A batch that is run again finds its version and does nothing."""
+
+    Versions have a counter of their own; beside it their names hold the query and the batch that made them, so a batch
+    that is run again does nothing, and one of a query with a fresh checkpoint is merged whatever its number."""
 
     def __init__(self, spark: SparkSession, folder: str, schema):
         self._spark, self._folder, self._schema = spark, folder.rstrip("/"), schema
@@ -50,24 +52,31 @@ class SnapshotTable:
         p = self._spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self._spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
+    def _held(self) -> list[tuple[int, str, str]]:
+        """(version, maker, folder name) of the finished ones, in order."""
         fs, p = self._fs(self._folder)
         if not fs.exists(p):
             return []
         names = [f.getPath() for f in fs.listStatus(p)]
         done = lambda q: fs.exists(self._spark._jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS"))
-        return sorted(int(q.getName()) for q in names if q.getName().isdigit() and done(q))
+        parts = [(*q.getName().partition("."), q) for q in names]
+        return sorted((int(n), maker, q.getName()) for n, _, maker, q in parts if n.isdigit() and done(q))
+
+    def versions(self) -> list[int]:
+        return [n for n, _, _ in self._held()]
 
     def read(self) -> DataFrame:
-        held = self.versions()
-        return self._spark.read.schema(self._schema).parquet(f"{self._folder}/{held[-1]}") if held else self._spark.createDataFrame([], self._schema)
+        held = self._held()
+        return self._spark.read.schema(self._schema).parquet(f"{self._folder}/{held[-1][2]}") if held else self._spark.createDataFrame([], self._schema)
 
     def merge(self, batch: DataFrame, batch_id: int, keep: int = 2) -> None:
-        held = self.versions()
-        if batch_id in held:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        held, maker = self._held(), f"{query}.{batch_id}"
+        if any(m == maker for _, m, _ in held):
             return
-        S.merge_snapshot(self.read(), batch).write.mode("overwrite").parquet(f"{self._folder}/{batch_id}")
-        for old in held[: -keep + 1 or None]:
+        number = held[-1][0] + 1 if held else 0
+        S.merge_snapshot(self.read(), batch).write.mode("overwrite").parquet(f"{self._folder}/{number:010d}.{maker}")
+        for _, _, old in held[: -keep + 1 or None]:
             fs, p = self._fs(f"{self._folder}/{old}")
             fs.delete(p, True)
 
