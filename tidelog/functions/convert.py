@@ -91,3 +91,10 @@ def logical_partition(spec: str) -> Column:
 def same_field(a: Column, b: Column) -> Column:
     """Typed equality of the audit: nulls are equal to each other."""
     return a.eqNullSafe(b)
+
+
+def camel_case(name: Column) -> Column:
+    """FIRST_NAME -> firstName, for a column of names; null stays null, doubled underscores count once."""
+    words = F.filter(F.split(F.lower(name), "_"), lambda w: w != "")
+    said = F.array_join(F.transform(words, lambda w, i: F.when(i > 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w)), "")
+    return F.when(name.isNotNull(), said)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import capture_queries, filter_queries, function_queries, log_queries, source_queries, table_queries
+from . import capture_queries, client_queries, filter_queries, function_queries, log_queries, source_queries, table_queries
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "capture_queries", "filter_queries", "function_queries", "log_queries", "source_queries", "table_queries"]
+__all__ = ["ORACLE", "QUERIES", "capture_queries", "client_queries", "filter_queries", "function_queries", "log_queries", "source_queries", "table_queries"]
