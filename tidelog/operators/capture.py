@@ -10,13 +10,13 @@ from .snapshot import last_image
 
 def to_changes(rows: DataFrame, source_map: DataFrame) -> DataFrame:
     """Row events (table_name, kind insert | update | delete, ...) with src_id and opcode; unknown tables go.
-    source_map (table_name, src_id) is configuration."""
-    known = rows.withColumn("table_name", F.lower("table_name")).join(F.broadcast(source_map), "table_name")
+    source_map (table_name, src_id) is configuration; Spark broadcasts it where its size allows."""
+    known = rows.withColumn("table_name", F.lower("table_name")).join(source_map, "table_name")
     return known.withColumn("opcode", F.when(F.col("kind") == "delete", "DELETE").otherwise("UPSERT"))
 
 
 def unknown_sources(rows: DataFrame, source_map: DataFrame) -> DataFrame:
-    return rows.withColumn("table_name", F.lower("table_name")).join(F.broadcast(source_map), "table_name", "left_anti")
+    return rows.withColumn("table_name", F.lower("table_name")).join(source_map, "table_name", "left_anti")
 
 
 def committed(events: DataFrame) -> DataFrame:

@@ -119,9 +119,11 @@ def byte_page(rows: DataFrame, budget: int, *, size: str = "size_bytes", order:
     """Rows while they fit a byte budget, in order. strict: an exact fit is refused (bootstrap pages); else it is sent (online reads).
 
     Without `by` the running sum would need all rows in one task. No event is smaller than its header of `least`
-    bytes, so budget / least rows hold the answer; a top-n takes them before the sum."""
+    bytes, so budget / least rows hold the answer; a top-n takes them before the sum. A size that is null or below it is
+    an error there."""
     if not by:
-        rows = rows.orderBy(*order).limit(budget // least + 1)
+        small = F.raise_error(F.lit(f"a size is null or below {least}"))
+        rows = rows.orderBy(*order).limit(budget // least + 1).withColumn(size, F.when(F.col(size) >= least, F.col(size)).otherwise(small.cast("bigint")))
     w = Window.partitionBy(*by or [F.lit(0)]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("running_bytes", F.sum(size).over(w))
     return rows.filter(F.col("running_bytes") < budget if strict else F.col("running_bytes") <= budget)
