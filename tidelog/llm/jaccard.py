@@ -294,7 +294,7 @@ def sets_of(coded: DataFrame, nodes: DataFrame, given: list) -> DataFrame:
     """node, n, toks of the given nodes (of some others too while a bitmap chooses them); distinct.
 
     A bitmap of some 8 places a node, 2 to 32 MB, keeps most other sets out of the exchange; where more nodes are asked
-    for, the table of nodes itself does. given: takes the broadcast, to be released when the result has been read."""
+    for, the table of nodes itself does. The bitmap comes to the driver in one job, not in one for each partition. given: takes the broadcast, to be released when the result has been read."""
     nodes = nodes.select("node").distinct()
     k = nodes.count()
     size = min(max(NODE_BITS, (8 * k).bit_length()), MOST_NODE_BITS)
@@ -305,7 +305,7 @@ def sets_of(coded: DataFrame, nodes: DataFrame, given: list) -> DataFrame:
         cell = F.col("node").bitwiseAND(F.lit((1 << size) - 1))
         rows = (
             nodes.select(cell.alias("c")).groupBy(F.expr("bitmap_bucket_number(c)").alias("b"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).toLocalIterator()
+            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(c))").alias("bits")).collect()
         )
         # Spark's buckets are of 32768 positions; bucket 1 begins at position 1, bucket 0 holds position 0 alone
         on = np.zeros((1 << size) // 8 + 8192, np.uint8)
