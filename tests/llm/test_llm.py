@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from rowform import normal
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat_format, fingerprints, jaccard, langid, line_dedup, packing, queries, secret_scan, simple8b, token_io, tokens, topk
+from tidelog.llm import _shared, bpe, chat_format, fingerprints, jaccard, langid, line_dedup, packing, queries, secret_scan, simple8b, token_io, tokens, topk
 from tidelog.llm.components import components
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -483,6 +485,62 @@ def test_jaccard_link_counts(spark, monkeypatch):
     assert sorted(((x.doc_id, x.n_links) for x in jaccard.jaccard_components(df, links=True).collect()), key=str) == want
 
 
+def test_jaccard_leaves_no_shuffle_files(spark, docs):
+    """Disk: shuffle files go with their query, tables with the operator; the settings are put back."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+
+    def files():
+        found = manager.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = files()
+    mark = _shared.made()
+    jaccard.jaccard_components(docs)
+    for _ in range(20):  # they are deleted in the background
+        left = {f for f in files() - before if f.startswith("shuffle")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == was
+    assert [os.path.exists(p) for p in _shared._MADE[mark:]] == [False, True]
+    _shared.release(spark, mark)
+
+
+def test_jaccard_in_parts(spark, monkeypatch):
+    """Pairs whose sets take more than the table of sets are verified in parts, with the same links."""
+    monkeypatch.setattr(jaccard, "LEAST_PART", 1)
+    monkeypatch.setattr(jaccard, "stored_bytes", lambda spark, path: 9000)
+    counts, parts = [], jaccard._parts
+
+    def counting(pairs, coded_bytes):
+        counts.append(parts(pairs, coded_bytes))
+        return counts[-1]
+
+    monkeypatch.setattr(jaccard, "_parts", counting)
+    r = random.Random(6)
+    rows = []
+    for i in range(90):
+        w = [f"b{i % 9}_{k}" for k in range(60)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 9999)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert components_got(df) == brute_components(rows)
+    assert max(counts) > 2
+
+
+def test_parts_follow_the_sets(spark):
+    pairs = spark.createDataFrame([(1, 2, 100, 90), (1, 3, 100, 110), (4, 2, 95, 90)], "x bigint, y bigint, nx bigint, ny bigint")
+    moved = 6 * (3 * 100 + 2 * 95 + 2 * 90 + 2 * 110)  # x once and for each pair, each y twice
+    for limit, n in ((moved, 1), (moved - 1, 2), (moved // 5, 6 if moved % 5 else 5)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jaccard, "LEAST_PART", 1)
+            assert jaccard._parts(pairs, limit) == n
+    assert jaccard._parts(pairs, 1) == 1 and jaccard._parts(pairs.filter("x < 0"), 0) == 1
+
+
 def test_shared_rows_over_batches():
     """Columns of any length, over any batches, with repeated rows."""
     r = random.Random(1)

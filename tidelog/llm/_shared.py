@@ -97,6 +97,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
+@contextmanager
+def spent_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run inside go when it ends, not when the driver happens to collect its garbage; the setting is put back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def row_key(*cols) -> list:
     """128 bits that name a row by its contents, never null; equal rows have equal keys."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(7), *reversed(cols)).alias("k2")]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget_others, remove, small_batches, workspace, written
+from ._shared import forget_others, remove, small_batches, spent_shuffles_go, stored_bytes, workspace, written
 from .components import components
 from .tokens import slices, text_buffers
 
@@ -44,6 +44,8 @@ CELL_BITS, RANGE_BITS, COLUMN, BLOCK, PIVOTS = 22, 6, 64, 512, 3
 NODE_BITS, MOST_NODE_BITS, SEEN = 24, 28, 1 << 20
 #: Bytes of a text that are hashed at once.
 PART = 512 << 10
+#: Pairs are verified in parts only where their sets take more bytes than this.
+LEAST_PART = 64 << 20
 MASK48 = np.uint64((1 << 48) - 1)
 _P = 0x9E3779B97F4A7C15 | 1
 _MULT = np.array([pow(_P, k + 3, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -332,17 +334,34 @@ def _linked(percent: int):
     return check
 
 
-def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int, given: list) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough.
+def _parts(pairs: DataFrame, coded_bytes: int) -> int:
+    """In how many parts pairs (x, y, nx, ny) are verified, so that the sets a part moves take no more bytes than the table of all sets.
+
+    Sets of distinct x travel once and again for each of their pairs; those of distinct y are a table and travel from it."""
+    x = pairs.groupBy("x").agg(F.first("nx").alias("n"), F.count("*").alias("k")).agg(F.expr("sum(n * (k + 1))")).first()[0] or 0
+    y = pairs.groupBy("y").agg(F.first("ny").alias("n")).agg(F.expr("sum(2 * n)")).first()[0] or 0
+    return max(1, -(-6 * (x + y) // max(coded_bytes, LEAST_PART)))
+
+
+def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int, given: list, coded_bytes: int) -> DataFrame:
+    """The pairs (x, y) of sets of nx and ny shingles whose whole sets are similar enough.
 
     The sets of all x come out of one exchange already dealt by x; those of y, which many x may share, lie in a
-    table, so that both sides of that join are plain exchanges which Spark may split where a y is hot."""
-    pairs = written(pairs.select("x", "y"), f"{at}/pairs")
-    left = sets_of(coded, pairs.select(F.col("x").alias("node")), given).select(F.col("node").alias("x"), F.col("toks").alias("a"))
-    right = written(sets_of(coded, pairs.select(F.col("y").alias("node")), given), f"{at}/sets").select(F.col("node").alias("y"), F.col("toks").alias("b"))
-    met = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
-    links = written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links")
-    remove(pairs.sparkSession, f"{at}/sets")
+    table, so that both sides of that join are plain exchanges which Spark may split where a y is hot. Pairs are
+    taken in parts by x, one after the other, where all their sets at once would take too much disk."""
+    spark = pairs.sparkSession
+    every = written(pairs.select("x", "y", "nx", "ny"), f"{at}/pairs")
+    n = _parts(every, coded_bytes)
+    links = None
+    for i in range(n):
+        some = every.filter(F.pmod(F.xxhash64(F.lit(n), "x"), F.lit(n)) == i) if n > 1 else every
+        some = some.select("x", "y")
+        left = sets_of(coded, some.select(F.col("x").alias("node")), given).select(F.col("node").alias("x"), F.col("toks").alias("a"))
+        right = written(sets_of(coded, some.select(F.col("y").alias("node")), given), f"{at}/sets{i}").select(F.col("node").alias("y"), F.col("toks").alias("b"))
+        met = some.join(left, "x").join(right, "y").select("x", "y", "a", "b")
+        found = written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links{i}")
+        remove(spark, f"{at}/sets{i}")
+        links = found if links is None else links.unionByName(found)
     return links
 
 
@@ -446,7 +465,7 @@ def jaccard_components(
     With key, two bigints that name a row, also k1, k2 and leads: whether it is the row with the least doc_id (null last),
     then key, of its component, or without a set. Rows of equal doc_id, text and key lead together."""
     k1, k2 = key or (F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), spent_shuffles_go(docs.sparkSession):
         rows = docs.select("doc_id", k1.alias("__k1"), k2.alias("__k2"), "text").toDF("doc_id", "k1", "k2", "text")
         out = _jaccard_components(rows, words, percent, links)
     return out if key else out.drop("k1", "k2", "leads")
@@ -459,6 +478,7 @@ def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links
     bits = spark.sparkContext.broadcast(frequent_cells(rows, shingler))
     given = [bits]
     coded = written(rows.mapInArrow(_coder(shingler, bits), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n bigint, toks binary"), f"{at}/coded")
+    coded_bytes = stored_bytes(spark, f"{at}/coded")
 
     prefix = coded.select("node", "n", "toks").mapInArrow(_prefix_rows(percent), "t bigint, node bigint, n bigint")
     dealt = prefix.repartitionByRange("t", "node").sortWithinPartitions("t", "node")
@@ -474,16 +494,20 @@ def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links
         .filter(F.col("p.node") != F.col("node"))
         .groupBy(F.col("node").alias("x"), F.col("p.node").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("nx"), F.first("p.n").alias("ny"))
         .filter(_fits(percent)).filter(_bound(2 * F.col("c"), "nx", "ny", percent))
-        .groupBy("x").agg(F.max_by("y", F.struct("c", "y")).alias("y1"), F.min_by("y", F.struct(-F.col("c"), "y")).alias("y2"))
-        .select("x", F.explode(F.array_distinct(F.array("y1", "y2"))).alias("y"))
+        .groupBy("x").agg(
+            F.first("nx").alias("nx"), F.max_by(F.struct("y", "ny"), F.struct("c", "y")).alias("y1"), F.min_by(F.struct("y", "ny"), F.struct(-F.col("c"), "y")).alias("y2")
+        )
+        .select("x", "nx", F.explode(F.array_distinct(F.array("y1", "y2"))).alias("y")).select("x", "y.y", "nx", "y.ny")
     )
-    links1 = verified(star, coded, f"{at}/star", percent, given)
+    links1 = verified(star, coded, f"{at}/star", percent, given, coded_bytes)
     labels1 = written(components(links1, f"{at}/round1"), f"{at}/labels1")
 
     # columns that still hold several components
     labelled = written(
         shared.join(columns.select("t", "f"), "t").join(labels1, "node", "left").withColumn("label", F.coalesce("label", "node")), f"{at}/labelled"
     )
+    remove(spark, f"{at}/shared")
+    remove(spark, f"{at}/columns")
     ends = labelled.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("f").alias("f"))
     open_ = written(ends.filter("lo <> hi").select("t", "f"), f"{at}/open")
 
@@ -494,13 +518,15 @@ def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links
     counted = a.join(b, "t").filter("x < y AND lx <> ly").filter(_fits(percent)).groupBy("x", "y").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     # a pair may share long columns too; those are counted in step 3, where both meet again
     long_ = written(labelled.join(open_.filter(f"f > {COLUMN}").select("t"), "t").select("t", "node", "n", "label"), f"{at}/long")
+    remove(spark, f"{at}/labelled")
     in_long = long_.groupBy("node").agg(F.count("*").alias("k"))
     extra = (
         counted.join(in_long.select(F.col("node").alias("x"), F.col("k").alias("kx")), "x", "left")
         .join(in_long.select(F.col("node").alias("y"), F.col("k").alias("ky")), "y", "left")
         .withColumn("c", F.col("c") + F.least(F.coalesce("kx", F.lit(0)), F.coalesce("ky", F.lit(0))))
     )
-    links2 = verified(extra.filter(_bound(F.col("c"), "nx", "ny", percent)), coded, f"{at}/across", percent, given)
+    links2 = verified(extra.filter(_bound(F.col("c"), "nx", "ny", percent)), coded, f"{at}/across", percent, given, coded_bytes)
+    remove(spark, f"{at}/short")
 
     # 3. long columns: visitors of the main component
     main = (
@@ -529,6 +555,8 @@ def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links
 
     links = links1.unionByName(links2).unionByName(links3)
     labels = components(links, f"{at}/round2")
+    for spent in ("long", "guests", "items", "visit_sets"):  # the links have been read
+        remove(spark, f"{at}/{spent}")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
     classes = coded.filter("n > 0").groupBy("node").agg(first, F.count("*").alias("copies"))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
