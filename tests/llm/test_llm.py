@@ -541,6 +541,21 @@ def test_parts_follow_the_sets(spark):
     assert jaccard._parts(pairs, 1) == 1 and jaccard._parts(pairs.filter("x < 0"), 0) == 1
 
 
+def test_lean_workers(monkeypatch):
+    """What other operators remember goes before the first batch; freed memory goes back at both ends, also of work cut short."""
+    calls = []
+    monkeypatch.setattr(_shared, "give_back", lambda: calls.append("back"))
+    other = _shared.worker_cache()
+    other["kept"] = 1
+    work = _shared.lean(lambda batches: (b + 1 for b in batches))
+    assert list(work(iter([1, 2]))) == [2, 3] and not other and calls == ["back", "back"]
+    cut = work(iter([1, 2]))
+    assert next(cut) == 2
+    cut.close()
+    assert calls == ["back"] * 4
+    _shared._CACHES.remove(other)
+
+
 def test_shared_rows_over_batches():
     """Columns of any length, over any batches, with repeated rows."""
     r = random.Random(1)

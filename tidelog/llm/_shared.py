@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,27 @@ def forget_others(mine: dict | None = None) -> None:
             cache.clear()
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed back to the system; the C library and Arrow keep it otherwise while the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work on batches (for mapInArrow) in a worker that first drops what other operators remembered and gives memory back at both ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        give_back()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local mode where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import forget_others, remove, small_batches, spent_shuffles_go, stored_bytes, workspace, written
+from ._shared import lean, remove, small_batches, spent_shuffles_go, stored_bytes, workspace, written
 from .components import components
 from .tokens import slices, text_buffers
 
@@ -162,7 +162,6 @@ def _sketch(shingler: Shingler):
     """Counts of shingles in 2**CELL_BITS cells, in 2**RANGE_BITS compressed parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         cells = np.zeros(1 << CELL_BITS, "<u4")
         for batch in batches:
             for _, sets in shingler.sets(batch.column(0)):
@@ -188,7 +187,7 @@ def _frequent_part(frame: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_cells(docs: DataFrame, shingler: Shingler) -> np.ndarray:
     """Bitmap over all cells of those that hold clearly more than a cell's mean; its size is fixed (512 KB)."""
-    counted = docs.select("text").mapInArrow(_sketch(shingler), "part int, counts binary")
+    counted = docs.select("text").mapInArrow(lean(_sketch(shingler)), "part int, counts binary")
     found = counted.groupBy("part").applyInPandas(_frequent_part, "part int, bits binary").collect()
     none = np.zeros(1 << (CELL_BITS - RANGE_BITS - 3), np.uint8)
     parts = {r["part"]: np.frombuffer(r["bits"], np.uint8) for r in found}
@@ -199,7 +198,6 @@ def _coder(shingler: Shingler, bits):
     """doc_id, k1, k2, node (hash of the set), n, toks: the set in the global order."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         often = np.unpackbits(bits.value)
         for batch in batches:
             for lo, sets in shingler.sets(batch.column(3)):
@@ -317,7 +315,7 @@ def sets_of(coded: DataFrame, nodes: DataFrame, given: list) -> DataFrame:
             at = base + np.flatnonzero(flags)
             np.bitwise_or.at(on, at // 8, (1 << (at % 8)).astype(np.uint8))
         given.append(coded.sparkSession.sparkContext.broadcast(on))
-        kept = kept.mapInArrow(_keep_nodes(given[-1], size), "node bigint, n bigint, toks binary")
+        kept = kept.mapInArrow(lean(_keep_nodes(given[-1], size)), "node bigint, n bigint, toks binary")
     return kept.groupBy("node").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
 
 
@@ -359,7 +357,7 @@ def verified(pairs: DataFrame, coded: DataFrame, at: str, percent: int, given: l
         left = sets_of(coded, some.select(F.col("x").alias("node")), given).select(F.col("node").alias("x"), F.col("toks").alias("a"))
         right = written(sets_of(coded, some.select(F.col("y").alias("node")), given), f"{at}/sets{i}").select(F.col("node").alias("y"), F.col("toks").alias("b"))
         met = some.join(left, "x").join(right, "y").select("x", "y", "a", "b")
-        found = written(met.mapInArrow(_linked(percent), "x bigint, y bigint"), f"{at}/links{i}")
+        found = written(met.mapInArrow(lean(_linked(percent)), "x bigint, y bigint"), f"{at}/links{i}")
         remove(spark, f"{at}/sets{i}")
         links = found if links is None else links.unionByName(found)
     return links
@@ -477,13 +475,13 @@ def _jaccard_components(rows: DataFrame, words: int, percent: int, counted_links
     shingler = Shingler(words, percent)
     bits = spark.sparkContext.broadcast(frequent_cells(rows, shingler))
     given = [bits]
-    coded = written(rows.mapInArrow(_coder(shingler, bits), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n bigint, toks binary"), f"{at}/coded")
+    coded = written(rows.mapInArrow(lean(_coder(shingler, bits)), "doc_id bigint, k1 bigint, k2 bigint, node bigint, n bigint, toks binary"), f"{at}/coded")
     coded_bytes = stored_bytes(spark, f"{at}/coded")
 
-    prefix = coded.select("node", "n", "toks").mapInArrow(_prefix_rows(percent), "t bigint, node bigint, n bigint")
+    prefix = coded.select("node", "n", "toks").mapInArrow(lean(_prefix_rows(percent)), "t bigint, node bigint, n bigint")
     dealt = prefix.repartitionByRange("t", "node").sortWithinPartitions("t", "node")
     # rows of one node from several tasks meet at column boundaries only as repeats; distinct again for those
-    shared = written(dealt.mapInArrow(_shared_rows, "t bigint, node bigint, n bigint").distinct(), f"{at}/shared")
+    shared = written(dealt.mapInArrow(lean(_shared_rows), "t bigint, node bigint, n bigint").distinct(), f"{at}/shared")
 
     # 1. stars
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n")).alias(f"p{r}") for r in range(PIVOTS)]
