@@ -5,6 +5,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -556,6 +558,90 @@ def test_lean_workers(monkeypatch):
     _shared._CACHES.remove(other)
 
 
+def test_lean_workers_keep_their_own():
+    """A worker's own cache stays where it is named, others' go."""
+    other = _shared.worker_cache()
+    mine = tokens.library_cache()
+    mine["kept"] = other["kept"] = 1
+    assert list(_shared.lean(lambda batches: batches, tokens.library_cache)(iter([1]))) == [1] and not other and mine.pop("kept")
+    _shared._CACHES.remove(other)
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read as Linux tells it")
+@pytest.mark.parametrize(("work", "most", "stays"), [("count", 270, 50), ("score", 300, 60)])
+def test_language_workers_give_memory_back(work, most, stays):
+    """Many different words in one process as a worker has them: the peak above what was there, and what stays, in MB."""
+    script = """
+import random, re, sys, threading, time
+import numpy as np
+import pyarrow as pa
+from tidelog.llm import _shared, langid
+work, most, stays = sys.argv[1], int(sys.argv[2]), int(sys.argv[3])
+now = lambda: int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+r = random.Random(1)
+texts = pa.array([" ".join("".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(100)) for _ in range(8000)])
+rows = (pa.RecordBatch.from_arrays([pa.array(["en"] * len(x)), x], ["lang", "text"]) for x in (texts.slice(at, 1000) for at in range(0, len(texts), 1000)))
+tables = [langid.Table(g, np.full(len(g), 0.5)) for g in langid._grams(["abc"])[0]]
+class Given:
+    value = langid.Models({lang: langid.KneserNey(tables, [None, *tables[1:]], 9, 0.5) for lang in ("a", "b", "c", "d")})
+class Spark:
+    class sparkContext:
+        broadcast = staticmethod(lambda models: Given)
+if work == "count":
+    run, given = _shared.lean(langid._counter), rows
+else:
+    langid.F.arrow_udf = lambda f, schema: f
+    run, given = langid.scorer(Spark, Given.value), iter([texts])
+_shared.give_back()
+before, peak, over = now(), [0], []
+def watch():
+    while not over:
+        peak[0] = max(peak[0], now())
+        time.sleep(0.01)
+t = threading.Thread(target=watch)
+t.start()
+for x in run(given):
+    del x
+over.append(1)
+t.join()
+print("FOUND", work, round(peak[0] - before), round(now() - before))
+assert peak[0] - before < most and now() - before < stays
+"""
+    found = subprocess.run([sys.executable, "-c", script, work, str(most), str(stays)], capture_output=True, text=True, timeout=200)
+    assert found.returncode == 0, found.stdout + found.stderr
+
+
+def test_grams_are_counted_in_blocks(monkeypatch):
+    """Blocks of any size give the counts of all words at once."""
+    r = random.Random(1)
+    words = {"".join(r.choices("abc", k=r.randint(1, 6))): r.randint(1, 9) for _ in range(300)}
+    found = []
+    for size in (1, 7, 1 << 14):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        keys, n = langid._counted(words)
+        found.append((keys.tolist(), n.tolist()))
+    keys, word = langid._gram_keys(list(words))
+    brute = collections.Counter()
+    for k, w in zip(map(tuple, keys.tolist()), word.tolist(), strict=True):
+        brute[k] += list(words.values())[w]
+    assert found[0] == found[1] == found[2] and dict(zip(map(tuple, found[0][0]), found[0][1], strict=True)) == brute
+
+
+def test_labelled_text_without_letters(spark):
+    """A task whose texts of a language have no letter has nothing to count."""
+    rows = spark.createDataFrame([("en", "some words to learn from"), ("de", " 12 ")], "lang string, text string").repartition(1)
+    assert langid.train(rows, F.lit(True)).names == ["en"]
+
+
+def test_packing_takes_small_batches(spark, docs, monkeypatch):
+    """Whole texts go to the workers 1000 at a time; the setting is put back."""
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.written
+    was = spark.conf.get(name)
+    monkeypatch.setattr(packing, "written", lambda df, at: (seen.append(spark.conf.get(name)), write(df, at))[1])
+    packing.pack(docs.limit(5), tokenizer=WORD)
+    assert seen == ["1000"] and spark.conf.get(name) == was
+
+
 def test_shared_rows_over_batches():
     """Columns of any length, over any batches, with repeated rows."""
     r = random.Random(1)

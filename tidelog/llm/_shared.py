@@ -44,11 +44,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """work on batches (for mapInArrow) in a worker that first drops what other operators remembered and gives memory back at both ends."""
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], mine: Callable[[], dict] | None = None):
+    """work on batches (for mapInArrow) in a worker that first drops what other operators remembered and gives memory back at both ends.
+
+    mine() is the worker's own cache, which stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
+        forget_others(mine and mine())
         give_back()
         try:
             yield from work(batches)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import forget_others, remove, workspace, written
+from ._shared import give_back, lean, remove, small_batches, workspace, written
 from .tokens import slices
 
 ORDER = 4
@@ -38,6 +38,8 @@ UNKNOWN = "und"
 NO_LETTERS = r"\P{L}+"
 SLICE = 4 << 20
 MEMO = 300_000
+#: Words whose grams are made at once.
+BLOCK = 1 << 14
 #: With more languages than this, slices and the memory of words' costs get shorter, as each word has a cost in each language.
 WIDE = 16
 CHAR = (1 << 21) - 1
@@ -91,20 +93,30 @@ def _gram_keys(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return np.stack([hi, lo], 1), np.repeat(np.arange(len(words)), lens + 1)
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (rows of two numbers), sorted, and the sum of each one's n."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, n = keys[order], n[order]
+    new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+    return keys[new], np.add.reduceat(n, np.flatnonzero(new))
+
+
+def _counted(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of words' highest grams and their counts."""
+    names, counts, parts = list(words), np.fromiter(words.values(), np.int64, len(words)), []
+    for at in range(0, len(names), BLOCK):
+        keys, word = _gram_keys(names[at : at + BLOCK])
+        parts.append(_summed(keys, counts[at : at + BLOCK][word]))
+    return parts[0] if len(parts) == 1 else _summed(*map(np.concatenate, zip(*parts, strict=True)))
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, a (first two characters), b (last two), n: of each task's texts."""
-    forget_others()
     held: dict[str, dict[str, int]] = {}
 
     def out(lang: str) -> pa.RecordBatch:
-        words = held.pop(lang)
-        counts = np.fromiter(words.values(), np.int64, len(words))
-        keys, word = _gram_keys(list(words))
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        keys, n = keys[order], counts[word][order]
-        new = np.append(True, (keys[1:] != keys[:-1]).any(1))
-        sums = np.add.reduceat(n, np.flatnonzero(new))
-        keys = keys[new].astype(np.int64)
+        keys, sums = _counted(held.pop(lang))
+        keys = keys.astype(np.int64)
         return pa.RecordBatch.from_pydict({
             "lang": pa.array([lang] * len(keys)), "a": pa.array(keys[:, 0]), "b": pa.array(keys[:, 1]), "n": pa.array(sums),
         })
@@ -120,7 +132,8 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         own[w] = own.get(w, 0) + n
                 if sum(map(len, held.values())) > MEMO:
                     yield out(max(held, key=lambda x: len(held[x])))
-    for lang in list(held):
+        give_back()
+    for lang in [x for x, words in held.items() if words]:  # a task may have seen no letter of a language
         yield out(lang)
 
 
@@ -204,9 +217,14 @@ class Models:
         missed = [w for w in words if w not in index]
         if missed:
             index.update(zip(missed, range(len(index), len(index) + len(missed)), strict=True))
-            self._rows = np.concatenate([self._rows, self.word_bits(missed).astype(np.float32)])
+            blocks = [self.word_bits(missed[at : at + BLOCK]).astype(np.float32) for at in range(0, len(missed), BLOCK)]
+            self._rows = np.concatenate([self._rows, *blocks])
         return self._rows[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
 
+    def forget(self) -> None:
+        """Drops the remembered words."""
+        self._index, self._rows = {}, self._rows[:0].copy()
+
     def predict(self, texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
         """(first row, end row, languages, scores, rejected) for slices of texts."""
         for lo, hi, words, index, o in _words(texts, SLICE * WIDE // max(WIDE, len(self.names))):
@@ -319,9 +337,10 @@ def calibrate(models: Models, counted: DataFrame) -> None:
 def train(docs: DataFrame, learn: Column) -> Models:
     """Models of the labelled rows of docs (text, lang) where learn holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counted = rows.mapInArrow(_counter, "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(_counter), "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
     at = workspace(docs.sparkSession, "langid")
-    table = written(counted, f"{at}/counts")
+    with small_batches(docs.sparkSession):
+        table = written(counted, f"{at}/counts")
     found, rest = shares(written(levels(table), f"{at}/grams"), at)
     runs = found.orderBy("lang", "k", "context", "a", "b").mapInArrow(_packed, "lang string, k int, context boolean, hashes binary, shares binary")
     parts: dict[tuple[str, int, bool], list[tuple[bytes, bytes]]] = {}
@@ -351,18 +370,22 @@ def scorer(spark: SparkSession, models: Models) -> Callable[[Column], Column]:
     """Function of a text column that gives struct(lang, score, rejected).
 
     Texts alone go to Python; the rows' other columns stay where they are. The models are broadcast, and given
-    up with the function."""
+    up with the function; words are remembered for a task only."""
     given = spark.sparkContext.broadcast(models)
 
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        forget_others()
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
             for _, _, names, scores, rejected in given.value.predict(texts):
                 parts.append(pa.StructArray.from_arrays(
                     [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"],
                 ))
+                give_back()
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+        given.value.forget()
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scored)(batches)
 
     return F.arrow_udf(score, FOUND)
 

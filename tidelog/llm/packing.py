@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import stored_bytes, workspace, written
-from .tokens import library_encoder, tokenizer_path
+from ._shared import give_back, lean, small_batches, stored_bytes, workspace, written
+from .tokens import library_cache, library_encoder, tokenizer_path
 
 DIMS, ORDER, FEATURES, SEED = 4, 10, 256, 20
 #: Tokens of a piece of a document on its way to its range; bytes of stored tokens that a range should hold.
@@ -115,6 +115,7 @@ def _coder(path: str, end_id: int):
                     "wide": pa.array([wide] * len(doc), pa.bool_()),
                     "ids": pa.array(rows, pa.binary()),
                 })
+            give_back()
 
     return code
 
@@ -178,10 +179,11 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 2, length: int = 4096
     """A row for each piece of a document in a sequence (OUT)."""
     at = workspace(docs.sparkSession, "packing")
     schema = "doc_id bigint, key bigint, start bigint, n bigint, wide boolean, ids binary"
-    coded = written(docs.select("doc_id", "text").mapInArrow(_coder(tokenizer, end_id), schema), at)
+    with small_batches(docs.sparkSession):
+        coded = written(docs.select("doc_id", "text").mapInArrow(lean(_coder(tokenizer, end_id), library_cache), schema), at)
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(docs.sparkSession, at) // RANGE_BYTES + 1)
     placed = coded.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
-    return placed.select("doc_id", "start", "n", "wide", "ids").mapInArrow(_packing(length), OUT)
+    return placed.select("doc_id", "start", "n", "wide", "ids").mapInArrow(lean(_packing(length)), OUT)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

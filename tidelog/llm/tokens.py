@@ -135,6 +135,11 @@ class ChunkEncoder:
 _LIBRARY: dict[str, ChunkEncoder] = worker_cache()
 
 
+def library_cache() -> dict[str, ChunkEncoder]:
+    """What a worker keeps of library_encoder."""
+    return _LIBRARY
+
+
 def library_encoder(path: str) -> ChunkEncoder:
     """A ChunkEncoder of the tokenizers library with add_special_tokens=False; one for each worker process and file.
 
