@@ -634,12 +634,12 @@ def test_labelled_text_without_letters(spark):
 
 
 def test_packing_takes_small_batches(spark, docs, monkeypatch):
-    """Whole texts go to the workers 1000 at a time; the setting is put back."""
+    """Whole texts go to the workers a few thousand at a time; the setting is put back."""
     name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.written
     was = spark.conf.get(name)
     monkeypatch.setattr(packing, "written", lambda df, at: (seen.append(spark.conf.get(name)), write(df, at))[1])
     packing.pack(docs.limit(5), tokenizer=WORD)
-    assert seen == ["1000"] and spark.conf.get(name) == was
+    assert seen == [str(packing.BATCH)] and packing.BATCH < int(was) and spark.conf.get(name) == was
 
 
 def test_shared_rows_over_batches():

@@ -28,6 +28,8 @@ from .tokens import library_cache, library_encoder, tokenizer_path
 DIMS, ORDER, FEATURES, SEED = 4, 10, 256, 20
 #: Tokens of a piece of a document on its way to its range; bytes of stored tokens that a range should hold.
 PIECE, RANGE_BYTES = 1 << 14, 32 << 20
+#: Texts that a worker gets at once: fewer take less memory, but equal chunks are looked up more often.
+BATCH = 2000
 
 OUT = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -179,7 +181,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 2, length: int = 4096
     """A row for each piece of a document in a sequence (OUT)."""
     at = workspace(docs.sparkSession, "packing")
     schema = "doc_id bigint, key bigint, start bigint, n bigint, wide boolean, ids binary"
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, BATCH):
         coded = written(docs.select("doc_id", "text").mapInArrow(lean(_coder(tokenizer, end_id), library_cache), schema), at)
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(docs.sparkSession, at) // RANGE_BYTES + 1)
     placed = coded.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start")
