@@ -633,6 +633,45 @@ def test_labelled_text_without_letters(spark):
     assert langid.train(rows, F.lit(True)).names == ["en"]
 
 
+def test_language_tables_come_in_few_files(spark, docs, monkeypatch):
+    """Small tables have as many files as there are cores, whatever the shuffle partitions; all grams and languages stay."""
+    seen, write = {}, langid.written
+
+    def written(df, path):
+        out = write(df, path)
+        seen[path.rsplit("/", 1)[1]] = len(out.inputFiles())
+        return out
+
+    def tables():
+        models = langid.train(docs.select("doc_id", "text", "lang"), F.lit(True))
+        return {(x, i): (t.hashes.tolist(), t.values[0].tolist()) for x, m in zip(models.names, models.models, strict=True) for i, t in enumerate([*m.grams, *m.contexts[1:]])}
+
+    want = tables()
+    name, coalesced = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    monkeypatch.setattr(langid, "written", written)
+    spark.conf.set(name, "31")
+    spark.conf.set(coalesced, "false")
+    try:
+        got = tables()
+    finally:
+        spark.conf.set(name, was)
+        spark.conf.unset(coalesced)
+    assert set(seen) == {"counts", "grams", "discounts", "contexts", "tables"}
+    assert max(seen.values()) <= spark.sparkContext.defaultParallelism and got == want
+
+
+def test_parts_follow_the_bytes(spark):
+    """One partition for each core at least, more with the bytes; without an estimate coalesce() changes nothing."""
+    cores = spark.sparkContext.defaultParallelism
+    assert _shared.parts(spark, 0) == cores and _shared.parts(spark, 100 * _shared.PART_BYTES) == 101
+    rows = spark.range(0, 70, 1, 7)
+    assert _shared.planned_bytes(rows) == 560
+    assert rows.coalesce(_shared.parts(spark, _shared.planned_bytes(rows))).rdd.getNumPartitions() == cores
+    unknown = spark.createDataFrame(rows.rdd, "id bigint")
+    assert unknown.coalesce(_shared.parts(spark, _shared.planned_bytes(unknown))).rdd.getNumPartitions() == 7
+
+
 def test_packing_takes_small_batches(spark, docs, monkeypatch):
     """Whole texts go to the workers a few thousand at a time; the setting is put back."""
     name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.written

@@ -19,6 +19,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOT_SHARE, HOT_ROWS = 1 / 1000, 1 << 20
 #: Tables of keys are broadcast up to so many rows; beyond, they meet in a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes that a task of a small intermediate table should have at least.
+PART_BYTES = 16 << 20
 
 _MADE: list[str] = []
 _CACHES: list[dict] = []
@@ -110,6 +112,19 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of what df reads and makes; very large where it has none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts(spark: SparkSession, size: int) -> int:
+    """How many partitions so many bytes are worth, for coalesce(): one for each core, or more with the bytes.
+
+    Tables much smaller than the shuffle partitions would allow otherwise become as many tiny files, and a local file
+    costs the JVM a child process or two (chmod, where Hadoop has no native library)."""
+    return min(max(spark.sparkContext.defaultParallelism, size // PART_BYTES + 1), (1 << 31) - 1)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Arrow batches of so many rows for what is written inside, since rows hold whole texts or sets; the setting is put back."""

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import give_back, lean, remove, small_batches, workspace, written
+from ._shared import give_back, lean, parts, planned_bytes, remove, small_batches, stored_bytes, workspace, written
 from .tokens import slices
 
 ORDER = 4
@@ -264,15 +264,14 @@ def levels(counted: DataFrame) -> DataFrame:
     return out
 
 
-def shares(grams: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """lang, k, context, a, b, value of each gram and each context; lang, letters, rest of each language."""
+def shares(grams: DataFrame, at: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """lang, k, context, a, b, value of each gram and each context; lang, letters, rest of each language. n: partitions of a table at most."""
     ones, twos = F.sum((F.col("n") == 1).cast("bigint")), F.sum((F.col("n") == 2).cast("bigint"))
     d = F.least(F.greatest(ones / F.greatest(ones + 2 * twos, F.lit(1)), F.lit(0.1)), F.lit(0.95))
-    discounts = written(grams.groupBy("lang", "k").agg(d.alias("d")), f"{at}/discounts")
+    discounts = written(grams.groupBy("lang", "k").agg(d.alias("d")).coalesce(n), f"{at}/discounts")
     before = F.shiftright("b", 21).alias("before")
-    contexts = written(
-        grams.groupBy("lang", "k", "a", before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).join(discounts, ["lang", "k"]), f"{at}/contexts"
-    )
+    found = grams.groupBy("lang", "k", "a", before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    contexts = written(found.join(discounts, ["lang", "k"]).coalesce(n), f"{at}/contexts")
     left = F.col("d") * F.col("kinds") / F.col("total")
     own = grams.select("*", before).join(contexts, ["lang", "k", "a", "before"]).select(
         "lang", "k", F.lit(False).alias("context"), "a", "b", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("value")
@@ -338,17 +337,20 @@ def train(docs: DataFrame, learn: Column) -> Models:
     """Models of the labelled rows of docs (text, lang) where learn holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counted = rows.mapInArrow(lean(_counter), "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    at = workspace(docs.sparkSession, "langid")
-    with small_batches(docs.sparkSession):
-        table = written(counted, f"{at}/counts")
-    found, rest = shares(written(levels(table), f"{at}/grams"), at)
-    runs = found.orderBy("lang", "k", "context", "a", "b").mapInArrow(_packed, "lang string, k int, context boolean, hashes binary, shares binary")
-    parts: dict[tuple[str, int, bool], list[tuple[bytes, bytes]]] = {}
+    spark = docs.sparkSession
+    at = workspace(spark, "langid")
+    with small_batches(spark):
+        table = written(counted.coalesce(parts(spark, planned_bytes(rows))), f"{at}/counts")
+    n = parts(spark, stored_bytes(spark, f"{at}/counts"))
+    found, rest = shares(written(levels(table).coalesce(n), f"{at}/grams"), at, n)
+    sorted_ = found.orderBy("lang", "k", "context", "a", "b").coalesce(n)
+    runs = sorted_.mapInArrow(_packed, "lang string, k int, context boolean, hashes binary, shares binary")
+    held: dict[tuple[str, int, bool], list[tuple[bytes, bytes]]] = {}
     for r in written(runs, f"{at}/tables").toLocalIterator():
-        parts.setdefault((r["lang"], r["k"], r["context"]), []).append((r["hashes"], r["shares"]))
+        held.setdefault((r["lang"], r["k"], r["context"]), []).append((r["hashes"], r["shares"]))
 
     def taken(lang: str, k: int, context: bool) -> Table:
-        hashes, values = zip(*parts.pop((lang, k, context)), strict=True)
+        hashes, values = zip(*held.pop((lang, k, context)), strict=True)
         return Table(np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(values), np.float32))
 
     orders = range(1, ORDER + 1)
@@ -359,7 +361,7 @@ def train(docs: DataFrame, learn: Column) -> Models:
         for r in rest.collect()
     })
     calibrate(models, table)
-    remove(docs.sparkSession, at)
+    remove(spark, at)
     return models
 
 
