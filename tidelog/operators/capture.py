@@ -19,14 +19,35 @@ def unknown_sources(rows: DataFrame, source_map: DataFrame) -> DataFrame:
     return rows.withColumn("table_name", F.lower("table_name")).join(source_map, "table_name", "left_anti")
 
 
+#: Positions of a stream are looked at in blocks of this width, so that a stream is not one task's work.
+BLOCK_BITS = 16
+
+
 def committed(events: DataFrame) -> DataFrame:
     """Row events of a binlog stream (pos, kind begin | commit | rollback | row, ...) that belong to a committed
-    transaction: column txn. Rows before the first begin and rolled-back ones go. One stream is one ordered file set: partition by file group."""
-    w = Window.partitionBy("stream").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("stream").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    marked = events.withColumn("txn", F.sum(F.when(F.col("kind") == "begin", 1).otherwise(0)).over(w))
-    marked = marked.withColumn("outcome", F.first(F.when(F.col("kind").isin("commit", "rollback", "begin"), F.col("kind")), True).over(ahead))
-    return marked.filter((F.col("kind") == "row") & (F.col("txn") > 0) & (F.col("outcome") == "commit")).drop("outcome")
+    transaction: column txn. Rows before the first begin and rolled-back ones go.
+
+    Each block of positions is looked at alone; a table of one row per block carries the begins before it and the first
+    mark behind it. Positions that are no integers make one block of a stream."""
+    whole = dict(events.dtypes)["pos"] in ("tinyint", "smallint", "int", "bigint")
+    marked = events.withColumn("__block", F.shiftright(F.col("pos").cast("bigint"), BLOCK_BITS) if whole else F.lit(0).cast("bigint"))
+    begins, mark = F.when(F.col("kind") == "begin", 1).otherwise(0), F.when(F.col("kind").isin("commit", "rollback", "begin"), F.col("kind"))
+
+    # behind: what comes later is the past of the descending order, where frames grow instead of being summed anew for each row
+    per = marked.groupBy("stream", "__block").agg(F.sum(begins).alias("n"), F.min_by("kind", F.when(mark.isNotNull(), F.col("pos"))).alias("first"))
+    before = Window.partitionBy("stream").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("stream").orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(
+        F.col("stream").alias("__stream"), F.col("__block").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begun"), F.last("first", True).over(behind).alias("__next"),
+    )
+
+    inside = Window.partitionBy("stream", "__block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("stream", "__block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = marked.withColumn("txn", F.sum(begins).over(inside)).withColumn("__mark", F.last(mark, True).over(ahead)).filter(F.col("kind") == "row")
+    rows = rows.join(carried, F.col("stream").eqNullSafe(F.col("__stream")) & F.col("__block").eqNullSafe(F.col("__at")))
+    txn = (F.col("txn") + F.col("__begun")).alias("txn")
+    kept = rows.filter(F.coalesce("__mark", "__next") == "commit").filter(F.col("txn") + F.col("__begun") > 0)
+    return kept.select(*[F.col(c) for c in events.columns if c != "txn"], txn)
 
 
 def dedupe_transaction(entries: DataFrame) -> DataFrame:
