@@ -156,3 +156,27 @@ def test_jenkins_rows_equal_one_by_one():
     r = random.Random(1)
     rows = [r.randbytes(n) for n in [*range(40), 12, 24, 5, 5]]
     assert jenkins_rows(rows).tolist() == [jenkins_of(x) for x in rows]
+
+
+def test_a_long_log_leaves_no_trace_of_each_call():
+    """What a dispatcher and the consumer that fails hold does not grow with the events."""
+    import tracemalloc
+
+    from tidelog.queries.client_queries import FailsOnce
+
+    def held(windows, make, **how):
+        events = ({"scn": i // 5 + 1, "src_id": 7, "id": i, "size_bytes": 50} for i in range(5 * windows))
+        tracemalloc.start()
+        consumer = make()
+        d = C.Dispatcher(consumer, **how)
+        d.run(events)
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert d.checkpoint == (windows, -1)
+        return size, d.calls
+
+    for make, how in ((C.StreamConsumer, {"checkpoint_bytes": 100}), (FailsOnce, {"retries": 10})):
+        held(10, make, **how)
+        (small, _), (large, calls) = held(200, make, **how), held(8000, make, **how)
+        assert large < small + 10_000
+        assert calls["on_end_window"] == 8000 and calls["on_rollback"] == (0 if make is C.StreamConsumer else len(range(0, 40_000, 97)))

@@ -10,6 +10,7 @@ raises: on_error decides. Control rows (negative source ids) close windows or ar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor, wait
 from typing import Any
@@ -165,11 +166,11 @@ class Dispatcher:
         self._consumer, self._retries, self._most, self._size, self._tries = consumer, retries, checkpoint_bytes, size, 0
         self._ended_before = False
         self.checkpoint: tuple[int, int] = (-1, -1)  # scn, events of it that are done (-1: all)
-        self.calls: list[tuple] = []
+        self.calls: Counter[str] = Counter()  # how often each callback was called: a number each, however long the log
 
     def _call(self, name: str, *args) -> ConsumerResult:
         result = _called(self._consumer, name, *args)
-        self.calls.append((name, *(a for a in args if not isinstance(a, dict)), int(result)))
+        self.calls[name] += 1
         return result
 
     def run(self, events: Iterable[Event]) -> ConsumerResult:
@@ -338,11 +339,11 @@ def deliver_partitions(
 
             dispatcher = Dispatcher(make(), retries=retries, checkpoint_bytes=checkpoint_bytes)
             result = dispatcher.run(part())
-            calls = [c[0] for c in dispatcher.calls]
+            calls = dispatcher.calls
             yield pd.DataFrame({
-                "pp_id": [pp], "result": [int(result)], "scn": [dispatcher.checkpoint[0]], "offset": [dispatcher.checkpoint[1]], "calls": [len(calls)],
-                "windows": [calls.count("on_end_window")], "sources": [calls.count("on_end_source")], "events": [calls.count("on_event")],
-                "checkpoints": [calls.count("on_checkpoint")], "rollbacks": [calls.count("on_rollback")],
+                "pp_id": [pp], "result": [int(result)], "scn": [dispatcher.checkpoint[0]], "offset": [dispatcher.checkpoint[1]], "calls": [calls.total()],
+                "windows": [calls["on_end_window"]], "sources": [calls["on_end_source"]], "events": [calls["on_event"]],
+                "checkpoints": [calls["on_checkpoint"]], "rollbacks": [calls["on_rollback"]],
             })
             ahead = rest[0]
 
