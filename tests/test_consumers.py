@@ -180,3 +180,107 @@ def test_a_long_log_leaves_no_trace_of_each_call():
         (small, _), (large, calls) = held(200, make, **how), held(8000, make, **how)
         assert large < small + 10_000
         assert calls["on_end_window"] == 8000 and calls["on_rollback"] == (0 if make is C.StreamConsumer else len(range(0, 40_000, 97)))
+
+
+class Stumbles(Tells):
+    """Fails once at each event whose id % every == 3, and at some other callbacks."""
+
+    def __init__(self, every, also=()):
+        super().__init__()
+        self.every, self.also, self.seen = every, also, set()
+
+    def __getattribute__(self, name):
+        call = super().__getattribute__(name)
+        if not name.startswith("on_") or name in ("on_stop_consumption", "on_rollback", "on_error"):
+            return call
+
+        def failing(*args):
+            call(*args)
+            what = (name, args[0]["id"] if isinstance(args[0], dict) else args) if args else None
+            bad = what and what not in self.seen and (args[0]["id"] % self.every == 3 if name == "on_event" else name in self.also and args[0] % 5 == 2)
+            self.seen.add(what)
+            return R.ERROR if bad else R.CHECKPOINT if name == "on_end_source" else R.SUCCESS
+
+        return failing
+
+
+@pytest.mark.parametrize("every, also, most", [(10**9, (), None), (10, (), None), (10, (), 120), (7, ("on_end_window", "on_start_source", "on_checkpoint"), 120)])
+def test_calls_made_ahead_are_those_of_one_consumer(every, also, most):
+    import random
+
+    r, events, scn = random.Random(5), [], 1
+    for i in range(3000):
+        events.append({"scn": scn, "src_id": r.choice((7, 7, 8, 9, -3)), "seq": i, "size_bytes": 50, "id": i})
+        if r.random() < 0.3:
+            if r.random() < 0.5:
+                events.append({"scn": scn, "src_id": -2, "seq": i, "size_bytes": 0, "id": -1})
+            scn += 1
+    alone, both = Stumbles(every, also), [Stumbles(every, also), Stumbles(every, also)]
+    a, m = C.Dispatcher(alone, retries=20, checkpoint_bytes=most), C.MultiConsumer(both)
+    b = C.Dispatcher(m, retries=20, checkpoint_bytes=most, ahead=100)
+    assert a.run(events) == b.run(iter(events)) and a.checkpoint == b.checkpoint and a.calls == b.calls
+    m.close()
+    assert both[0].calls == both[1].calls == alone.calls
+
+
+def test_short_callbacks_need_no_thread_each(monkeypatch):
+    submit, n = C.ThreadPoolExecutor.submit, [0]
+
+    def counted(*args, **more):
+        n[0] += 1
+        return submit(*args, **more)
+
+    monkeypatch.setattr(C.ThreadPoolExecutor, "submit", counted)
+    m = C.MultiConsumer([C.StreamConsumer(), C.SelectingConsumer({7: lambda e: R.SUCCESS})], timeout=60)
+    d = C.Dispatcher(m, ahead=1000)
+    assert d.run(log(*[(i // 3, 7) for i in range(30_000)])) == R.SUCCESS and d.calls["on_event"] == 30_000
+    m.close()
+    assert n[0] < 15_000  # one for 1000 events; far more only if something else holds the machine up
+
+
+def test_slow_callbacks_made_ahead_run_at_once_and_in_order():
+    class Slow(Tells):
+        def __getattribute__(self, name):
+            call = super().__getattribute__(name)
+            if name == "on_event":
+                return lambda e: (time.sleep(0.05), call(e))[1]
+            return call
+
+    consumers = [Slow() for _ in range(5)]
+    m = C.MultiConsumer(consumers, timeout=30)
+    began = time.monotonic()
+    assert C.Dispatcher(m, ahead=1000).run(log(*[(i // 4, 7) for i in range(20)])) == R.SUCCESS
+    assert time.monotonic() - began < 20 * 5 * 0.05 * 0.7  # one after another they need 5 s
+    m.close()
+    alone = Tells()
+    C.Dispatcher(alone).run(log(*[(i // 4, 7) for i in range(20)]))
+    assert all(c.calls == alone.calls for c in consumers)
+
+
+def test_a_callback_that_hangs_is_an_error_ahead_too():
+    import threading
+
+    free = threading.Event()
+
+    class Hangs(C.StreamConsumer):
+        def on_event(self, event):
+            if event["id"] == 4:
+                free.wait(30)
+
+    for order in (1, -1):
+        m = C.MultiConsumer([Hangs(), C.StreamConsumer()][::order], timeout=0.1)
+        began = time.monotonic()
+        with pytest.raises(C.Failed):
+            C.Dispatcher(m, retries=1, ahead=1000).run(EVENTS + log((9, 7)))
+        assert time.monotonic() - began < 10
+        m.close()
+    free.set()
+
+    def torn():
+        yield from EVENTS[:5]
+        raise OSError("torn")
+
+    t = Tells()
+    with pytest.raises(OSError):
+        C.Dispatcher(C.MultiConsumer([t]), ahead=1000).run(torn())
+    assert names(t).count("event") == 4 and names(t)[-1] == "stop_consumption"

@@ -10,9 +10,12 @@ raises: on_error decides. Control rows (negative source ids) close windows or ar
 
 from __future__ import annotations
 
-from collections import Counter
+import threading
+import time
+from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor, wait
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -104,19 +107,27 @@ class SelectingConsumer(StreamConsumer):
 
 class MultiConsumer:
     """Several consumers as one. Events of a source go to all of them at once; every other callback is a barrier:
-    it waits until all have returned from what came before. A callback that takes longer than timeout seconds is an error."""
+    it waits until all have returned from what came before. A callback that takes longer than timeout seconds is an error.
+
+    A switch of threads takes longer than a short callback, so calls that are known ahead (run_ahead) are made by one
+    thread, consumer after consumer, for as long as they are quick. When they are not, the consumers get threads of their own
+    again. A consumer's calls come in order and never two at once, but not all from one thread."""
+
+    #: How often (seconds) run_ahead looks at its calls, how long one may take on average, and how many go to threads before it tries again.
+    LOOK, QUICK, THREADED = 0.005, 0.0005, 64
 
     def __init__(self, consumers: list, *, timeout: float | None = None):
         self._consumers, self._timeout = consumers, timeout
         self._pools = [ThreadPoolExecutor(1) for _ in consumers]  # one thread each keeps a consumer's calls in order
+        self._together = ThreadPoolExecutor(1)
         self._waiting: list = []
+        self._late: list = []  # what had not returned when its time was over
 
     def _barrier(self) -> ConsumerResult:
         done, late = wait(self._waiting, timeout=self._timeout)
         self._waiting = []
         if late:
-            for f in late:
-                f.cancel()
+            self._late = [f for f in (*self._late, *late) if not f.cancel() and not f.done()]
             return ConsumerResult.ERROR
         return max((f.result() or ConsumerResult.SUCCESS for f in done), default=ConsumerResult.SUCCESS)
 
@@ -127,18 +138,59 @@ class MultiConsumer:
         def call(*args) -> ConsumerResult:
             before = ConsumerResult.SUCCESS if name == "on_event" else self._barrier()
 
-            def one(consumer) -> ConsumerResult:
-                try:
-                    return getattr(consumer, name)(*args)
-                except Exception as e:  # a consumer's failure is its result
-                    return consumer.on_error(e)
-
-            self._waiting += [pool.submit(one, c) for pool, c in zip(self._pools, self._consumers, strict=True)]
+            self._waiting += [pool.submit(_called, c, name, *args) for pool, c in zip(self._pools, self._consumers, strict=True)]
             return before if name == "on_event" else max(before, self._barrier())
 
         return call
 
+    def run_ahead(self, calls: list[tuple]) -> list[ConsumerResult]:
+        """Makes calls (name, arguments) in order up to the first failure, and gives their results, at least one."""
+        results: list[ConsumerResult] = []
+        while len(results) < len(calls) and (not results or results[-1].ok):
+            self._late = [f for f in self._late if not f.done()]
+            if self._late or self._waiting or self._one_thread(calls, results):
+                self._own_threads(calls, results)
+        return results
+
+    def _one_thread(self, calls: list[tuple], results: list[ConsumerResult]) -> bool:
+        """Makes calls in one thread until one fails; whether they were too slow, then the next one is under way."""
+        batch = _Batch(self._consumers, calls, results)
+        running = self._together.submit(batch.run)
+        look = self.LOOK if self._timeout is None else min(self.LOOK, self._timeout)
+        seen, since = 0, time.monotonic()
+        while wait([running], timeout=look).not_done:
+            now, made = time.monotonic(), batch.made
+            if now - since <= (made - seen) * self.QUICK:
+                seen, since = made, now
+                continue
+            with batch.lock:
+                if batch.over:
+                    continue
+                batch.over, at = True, batch.at
+            if at < 0:  # between two calls
+                running.result()
+                return not results or results[-1].ok
+            # the consumer whose callback is under way waits for it in its own thread, those behind it start now
+            name, *args = calls[len(results)]
+            self._waiting = [running, self._pools[at].submit(running.result)]
+            for pool, c in list(zip(self._pools, self._consumers, strict=True))[at + 1 :]:
+                self._waiting.append(pool.submit(_called, c, name, *args))
+            results.append(ConsumerResult.SUCCESS if name == "on_event" else self._barrier())
+            return results[-1].ok
+        running.result()
+        return False
+
+    def _own_threads(self, calls: list[tuple], results: list[ConsumerResult]) -> None:
+        """Makes some calls in a thread for each consumer; the last one's result has what is still out."""
+        for name, *args in calls[len(results) : len(results) + self.THREADED]:
+            results.append(getattr(self, name)(*args))
+            if not results[-1].ok:
+                return
+        if results:
+            results[-1] = max(results[-1], self._barrier())
+
     def close(self) -> None:
+        self._together.shutdown(wait=False, cancel_futures=True)
         for pool in self._pools:
             pool.shutdown(wait=False, cancel_futures=True)
 
@@ -150,6 +202,53 @@ def _called(consumer, name: str, *args) -> ConsumerResult:
         return consumer.on_error(e)
 
 
+class _Batch:
+    """Calls of several consumers in one thread, of which another thread may take over what has not begun."""
+
+    def __init__(self, consumers: list, calls: list[tuple], results: list[ConsumerResult]):
+        self._consumers, self._calls, self._results = consumers, calls, results
+        self.lock, self.over = threading.Lock(), False
+        self.made, self.at = 0, -1  # callbacks made; the consumer under way, -1 between two calls
+
+    def run(self) -> ConsumerResult:
+        for name, *args in self._calls[len(self._results) :]:
+            worst = ConsumerResult.SUCCESS
+            for i, c in enumerate(self._consumers):
+                with self.lock:
+                    if self.over:
+                        return worst
+                    self.at = i
+                worst = max(worst, _called(c, name, *args))
+                self.made += 1
+            with self.lock:
+                if self.over:
+                    return worst
+                self._results.append(worst)
+                self.at = -1
+            if not worst.ok:
+                break
+        with self.lock:
+            self.over = True
+        return ConsumerResult.SUCCESS
+
+
+class _Told:
+    """Writes down what it is called with."""
+
+    def __init__(self):
+        self.calls: list[tuple] = []
+
+    def __getattr__(self, name: str):
+        if not name.startswith("on_"):
+            raise AttributeError(name)
+
+        def call(*args) -> ConsumerResult:
+            self.calls.append((name, *args))
+            return ConsumerResult.SUCCESS
+
+        return call
+
+
 class Failed(RuntimeError):
     """A callback has failed more often than it may."""
 
@@ -160,16 +259,28 @@ class Dispatcher:
 
     After a failed callback the consumer is rolled back and gets everything since its last good checkpoint again, at
     most `retries` times for the same checkpoint; ERROR_FATAL is not tried again. What is held for that is what came
-    since the checkpoint. SKIP_CHECKPOINT as the result of on_checkpoint keeps the older one."""
+    since the checkpoint. SKIP_CHECKPOINT as the result of on_checkpoint keeps the older one.
 
-    def __init__(self, consumer, *, retries: int = 3, checkpoint_bytes: int | None = None, size: str = "size_bytes"):
+    ahead: so many events are read before the first of them is delivered, and a MultiConsumer is told at once which
+    callbacks they make as long as none fails. After a failure that is worked out anew."""
+
+    def __init__(self, consumer, *, retries: int = 3, checkpoint_bytes: int | None = None, size: str = "size_bytes", ahead: int = 1):
         self._consumer, self._retries, self._most, self._size, self._tries = consumer, retries, checkpoint_bytes, size, 0
         self._ended_before = False
+        self._ahead = ahead if isinstance(consumer, MultiConsumer) else 1
+        self._coming: deque[Event] = deque()  # read, not delivered
+        self._planned: deque[tuple[str, ConsumerResult]] = deque()  # callbacks that were made ahead
+        self._covered = 0  # events whose callbacks are among these
         self.checkpoint: tuple[int, int] = (-1, -1)  # scn, events of it that are done (-1: all)
         self.calls: Counter[str] = Counter()  # how often each callback was called: a number each, however long the log
 
     def _call(self, name: str, *args) -> ConsumerResult:
-        result = _called(self._consumer, name, *args)
+        if self._planned:
+            made, result = self._planned.popleft()
+            if made != name:
+                raise RuntimeError(f"{made} was called ahead, {name} is due")
+        else:
+            result = _called(self._consumer, name, *args)
         self.calls[name] += 1
         return result
 
@@ -178,7 +289,7 @@ class Dispatcher:
         held: list[Event] = []  # since the checkpoint
         state = self._fresh()
         try:
-            for event in events:
+            for event in self._read(events):
                 held.append(event)
                 state, worst = self._deliver(held, len(held) - 1, state, worst)
             state, worst = self._ended(held, state, worst)
@@ -186,13 +297,47 @@ class Dispatcher:
             self._call("on_stop_consumption")
         return worst
 
+    def _read(self, events: Iterable[Event]) -> Iterator[Event]:
+        if self._ahead == 1:
+            yield from events
+            return
+        source, failure = iter(events), None
+        while failure is None:
+            try:
+                for event in islice(source, self._ahead):
+                    self._coming.append(event)
+            except Exception as e:  # what came before it is delivered first
+                failure = e
+            if not self._coming:
+                break
+            while self._coming:
+                yield self._coming.popleft()
+        if failure is not None:
+            raise failure
+
+    def _plan(self, events: list[Event], state: dict) -> None:
+        """Has the callbacks of these events made up to the first failure; _call finds their results."""
+        told = _Told()
+        trial = Dispatcher(told, checkpoint_bytes=self._most, size=self._size)
+        state = dict(state)
+        for event in events:
+            trial._step(event, state)
+        if told.calls:
+            results = self._consumer.run_ahead(told.calls)
+            self._planned.extend(zip((c[0] for c in told.calls), results, strict=False))
+        self._covered = len(events)
+
     @staticmethod
     def _fresh() -> dict:
         return {"scn": None, "src": None, "n": 0, "bytes": 0}
 
     def _deliver(self, held: list[Event], at: int, state: dict, worst: ConsumerResult) -> tuple[dict, ConsumerResult]:
         while at < len(held):
+            if self._ahead > 1 and not self._covered:
+                soon = held[at : at + self._ahead]
+                self._plan([*soon, *islice(self._coming, self._ahead - len(soon))], state)
             result, done = self._step(held[at], state)
+            self._covered = self._covered - 1 if result.ok else 0
             if self._ended_before:  # the window before this event is done, whatever has become of the event
                 del held[:at]
                 at, self._tries, self._ended_before = 0, 0, False
@@ -337,7 +482,7 @@ def deliver_partitions(
                         return
                     yield row
 
-            dispatcher = Dispatcher(make(), retries=retries, checkpoint_bytes=checkpoint_bytes)
+            dispatcher = Dispatcher(make(), retries=retries, checkpoint_bytes=checkpoint_bytes, ahead=1000)
             result = dispatcher.run(part())
             calls = dispatcher.calls
             yield pd.DataFrame({
