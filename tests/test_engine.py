@@ -304,3 +304,20 @@ def test_committed_rows_over_blocks(spark):
     assert {(x.stream, int(x.pos) - 5, x.txn) for x in as_text.collect()} == want
     # frames that end with the partition are summed anew for each row
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_hash_of_a_text_key_is_computed_once(spark, sf):
+    """A filter and a column of it: two computations, without number conversions for each character."""
+    from tidelog.queries import QUERIES
+
+    plan = QUERIES["f03_string_key_mod"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and "conv(" not in plan
+    texts = [("abc",), ("",), ("7",), ("-9223372036854775808",), ("\0é中😀",), (None,)]
+    df = spark.createDataFrame(texts, "s string").select("s", L.numeric_key(F.col("s"), "string").alias("k"))
+    rows = df.select("k", L.key_mod(F.col("k"), 5, 1, 4), L.key_mod(F.col("s"), 5, 1, 4, "string")).collect()
+    assert all(r[1] == r[2] for r in rows) and rows[3][2] is False and rows[5][2] is False
+    units = "\0é中😀".encode("utf-16-be")
+    h = 0
+    for i in range(0, len(units), 2):
+        h = (h * 31 + int.from_bytes(units[i : i + 2], "big")) % (1 << 32)
+    assert rows[4].k == h - (h >> 31 << 32)

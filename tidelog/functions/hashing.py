@@ -13,21 +13,20 @@ JENKINS_START = 0x9E3779B9
 M32, M63 = 0xFFFFFFFF, 0x7FFFFFFFFFFFFFFF
 
 
-def _places(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-
-
-def _unit(binary: Column, i: Column, size: int) -> Column:
-    """Unit i of size bytes, big-endian, as a non-negative number."""
-    return F.conv(F.hex(F.substring(binary, i * size + 1, F.lit(size))), 16, 10).cast("long")
+def _codes(text: Column) -> Column:
+    """Code points of a string, as an array of bigints; empty for an empty string."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
 def string_hash(text: Column) -> Column:
     """h * 31 + c over UTF-16 units, wrapping at 32 bits, as a signed int in a bigint."""
-    wide = F.encode(text, "UTF-16BE")
-    n = F.shiftright(F.length(wide), 1)
-    h = F.aggregate(_places(n), F.lit(0).cast("long"), lambda a, i: (a * 31 + _unit(wide, i, 2)).bitwiseAND(F.lit(M32)))
-    return F.when(text.isNotNull(), F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+
+    def step(h: Column, c: Column) -> Column:
+        high, low = F.shiftright(c, 10) + (0xD800 - (0x10000 >> 10)), c.bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(c < 0x10000, h * 31 + c).otherwise((h * 31 + high) * 31 + low).bitwiseAND(F.lit(M32))
+
+    h = F.aggregate(_codes(text), F.lit(0).cast("long"), step)
+    return F.shiftright(F.shiftleft(h, 32), 32)  # the sign without naming h twice, as each name is a computation
 
 
 def _times_wrapping(h: Column, prime: int) -> Column:
@@ -39,10 +38,7 @@ def _times_wrapping(h: Column, prime: int) -> Column:
 
 def fnv1a(binary: Column) -> Column:
     """FNV-1a of a binary column with a 64-bit accumulator, signed."""
-    h = F.aggregate(
-        _places(F.length(binary)), F.lit(FNV_BASIS).cast("long"), lambda a, i: _times_wrapping(a.bitwiseXOR(_unit(binary, i, 1)), FNV_PRIME)
-    )
-    return F.when(binary.isNotNull(), h)
+    return F.aggregate(_codes(F.decode(binary, "ISO-8859-1")), F.lit(FNV_BASIS).cast("long"), lambda a, b: _times_wrapping(a.bitwiseXOR(b), FNV_PRIME))
 
 
 def fnv1a_bucket(binary: Column, buckets: int) -> Column:

@@ -47,6 +47,8 @@ def key_mod(key: Column, buckets: int, start: int, end: int, kind: str = "long")
     if buckets <= 0:
         raise ValueError("buckets must be positive")
     k = numeric_key(key, kind)
+    if kind != "long":  # as an element, so that the hash of a text is computed once
+        return F.transform(F.array(k), lambda x: key_mod(x, buckets, start, end))[0]
     return F.when(k == -(1 << 63), F.lit(False)).otherwise(in_range(F.abs(k) % buckets, start, end))
 
 
